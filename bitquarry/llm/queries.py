@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitquarry.llm import packing
-from bitquarry.llm.tables import read
+from bitquarry.llm import htmltext, media, mixing, packing, warc
+from bitquarry.llm.mixing_sql import MIX
+from bitquarry.llm.tables import cut, read
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives into the shared folder and read back."""
+    archives = cut(warc.write_archives(warc.plan_revisits(read(spark, sf_dir, "pages"))), "none")
+    return warc.page_rows(warc.read_archives(archives, with_payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source to the weights 1, 2, 3, repeating."""
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a PNG column, decoded again, with its cosine-transform hash."""
+    return media.features(media.encode(read(spark, sf_dir, "documents"))).drop("error")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op6_mixing": op6_mixing,
+    "op8_media": op8_media,
+    "op9_html": op9_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": MIX,
+}
