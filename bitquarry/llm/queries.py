@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitquarry.llm import htmltext, media, mixing, packing, warc
+from bitquarry.llm import htmltext, media, mixing, packing, simhash, warc
 from bitquarry.llm.mixing_sql import MIX
 from bitquarry.llm.tables import cut, read
 
@@ -22,6 +22,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archives(archives, with_payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their groups at two or fewer differing bits."""
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source to the weights 1, 2, 3, repeating."""
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
@@ -40,6 +45,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op8_media": op8_media,
     "op9_html": op9_html,
