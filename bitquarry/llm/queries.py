@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitquarry.llm import htmltext, media, mixing, packing, simhash, warc
+from bitquarry.llm import htmltext, media, mixing, packing, simhash, topk, warc
 from bitquarry.llm.mixing_sql import MIX
 from bitquarry.llm.tables import cut, read
 
@@ -32,6 +32,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a PNG column, decoded again, with its cosine-transform hash."""
     return media.features(media.encode(read(spark, sf_dir, "documents"))).drop("error")
@@ -47,10 +52,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_topk": op7_topk,
     "op8_media": op8_media,
     "op9_html": op9_html,
 }
 
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": MIX,
+    "op7_topk": TOPK,
 }
