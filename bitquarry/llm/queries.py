@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bitquarry.llm import htmltext, media, mixing, packing, simhash, topk, warc
+from bitquarry.llm import htmltext, licenses, media, mixing, packing, simhash, topk, warc
+from bitquarry.llm.licenses_sql import LICENSES
 from bitquarry.llm.mixing_sql import MIX
 from bitquarry.llm.tables import cut, read
 
@@ -47,6 +49,12 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents, laid out as files, and what folders hand down."""
+    path, short = licenses.document_layout(*map(F.col, ("text", "source", "lang", "doc_id")))
+    return licenses.scan(read(spark, sf_dir, "documents"), "doc_id", "text", path, short)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op8_media": op8_media,
     "op9_html": op9_html,
+    "op10_licenses": op10_licenses,
 }
 
 TOPK = """
@@ -68,4 +77,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": MIX,
     "op7_topk": TOPK,
+    "op10_licenses": LICENSES,
 }
