@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm import htmltext, licenses, media, mixing, packing, simhash, topk, warc
+from bitquarry.llm import htmltext, langid, licenses, media, mixing, packing, quality, simhash, topk, warc
 from bitquarry.llm.licenses_sql import LICENSES
 from bitquarry.llm.mixing_sql import MIX
 from bitquarry.llm.tables import cut, read
@@ -24,6 +24,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archives(archives, with_payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; labels of held-out ids are not learned from."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page."""
+    found = langid.of_pages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("page_id"), "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their groups at two or fewer differing bits."""
     return simhash.groups(read(spark, sf_dir, "documents"))
@@ -58,6 +69,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
+    "op4_langid": op4_langid,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
