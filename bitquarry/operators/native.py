@@ -195,7 +195,7 @@ class _Reader:
         else:
             top = F.least(n, _LIT(node.max_elements))
             value = F.when(top > 0, F.transform(F.sequence(_LIT(0), F.greatest(top - 1, _LIT(0))), element)).otherwise(F.array().cast(kind))
-        return value.cast(kind), end
+        return value, end
 
     def variant(self, node: N.Variant, at: Position, here: Column | None) -> tuple[Column, Position]:
         self.need(at + node.tag_bits, here)
@@ -226,7 +226,12 @@ def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | N
     error = r.let(error)
     whole = F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"), F.when(error.isNull(), (_LIT(end) if isinstance(end, int) else end).cast("long") - start).alias("bits_read"))
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    return r.df.select(*kept, F.when(p.isNotNull(), whole).alias(out))
+    there = p.isNotNull()
+    if r.made > 1:
+        # Always true, but not to be pushed down: a filter on a varying field would
+        # otherwise be rewritten over all projections below, each expression many times.
+        there = there & (F.rand(0) >= 0)
+    return r.df.select(*kept, F.when(there, whole).alias(out))
 
 
 # Writing ---------------------------------------------------------------------
