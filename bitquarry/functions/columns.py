@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -30,7 +32,7 @@ def checked(op: str, a: Column, b: Column, node: Integer | Vbr) -> Column:
     n = node.whole if isinstance(node, Vbr) else node
     wide = lambda c: c.cast("decimal(20,0)")
     a, b = wide(a), wide(b)
-    low, high = (F.lit(x).cast("decimal(20,0)") for x in (n.least, n.most))
+    low, high = (F.lit(Decimal(x)).cast("decimal(20,0)") for x in (n.least, n.most))
     zero = F.lit(False)
     if op == "add":
         raw = a + b

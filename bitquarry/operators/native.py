@@ -11,6 +11,8 @@ time; objects of up to 63 bits that never vary are one long and shifts.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def zigzag_decode(u: Column) -> Column:
 def _unsigned(c: Column) -> Column:
     """A long's 64 bits as decimal(20, 0)."""
     d = c.cast("decimal(20,0)")
-    return F.when(c < 0, d + _LIT(1 << 64).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
+    return F.when(c < 0, d + _LIT(Decimal(1 << 64))).otherwise(d).cast("decimal(20,0)")
 
 
 def get_bits(payload: Column, at: Position, n: int) -> Column:
@@ -150,7 +152,7 @@ class _Reader:
         k = self.let(k)
         values, code = [], None
         for g, n in enumerate(node.segments):
-            part = get_bits(self.payload, at + starts[g] + (g + 1 < last), n)
+            part = get_bits(self.payload, at + starts[g] + int(g + 1 < last), n)
             code = part if code is None else F.shiftleft(code, n).bitwiseOR(part)
             values.append(F.when(k == g + 1, code))
         code = F.coalesce(*values)
@@ -260,7 +262,7 @@ def _code(node: N.Node, c: Column) -> tuple[Column, Column]:
                 return (F.array_position(F.array(*map(_LIT, node.labels)), c) - 1), ~c.isin(*node.labels)
             return (c - node.least).cast("long"), ~c.between(node.least, node.most)
     wide = node.width == 64 and not node.signed
-    outside = _LIT(False) if node.width == 64 and node.signed else ~c.between(_LIT(node.least).cast("decimal(20,0)") if wide else _LIT(node.least), _LIT(node.most).cast("decimal(20,0)") if wide else _LIT(node.most))
+    outside = _LIT(False) if node.width == 64 and node.signed else ~c.between(_LIT(Decimal(node.least) if wide else node.least), _LIT(Decimal(node.most) if wide else node.most))
     if wide:
         return F.conv(c.cast("string"), 10, -10).cast("long"), outside
     safe = F.when(~outside, c.cast("long"))
