@@ -13,8 +13,8 @@ and only if they share such a value, and no value has over 65 of them.
 Similar form (``similar_groups``): word shingles of width five and a Jaccard
 similarity of at least 0.8.  Candidates come from many short keys of a longer
 fingerprint over word pairs, whose angle stays small where a few words differ;
-the pivot table and the full fingerprints thin them, and the shingle sets
-themselves decide.
+the pivot table and long fingerprints over the shingles thin them, and the
+shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -157,18 +157,17 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """(id, c0, c1, f0 to f3, keys): the words' 128-bit hash, the long fingerprint, the candidate keys."""
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(id, c0, c1, f0 to f3, keys): the words' 128-bit hash, the long fingerprint of the shingles, candidate keys of the word pairs' one."""
     types = [pa.int64()] * (3 + _LANES) + [pa.list_(pa.int64())]
     names = ["id", "c0", "c1", *(f"f{k}" for k in range(_LANES)), "keys"]
     schema = pa.schema(list(zip(names, types)))
 
     def one(text: str | None) -> tuple:
         words = word_list(text)
-        lanes = _lanes(shingle_hashes(words, 2))
         content = xxhash.xxh3_128_digest(b" ".join(words))
-        keys = np.unpackbits(np.frombuffer(b"".join(lanes), np.uint8))[_PLACES] @ _POWERS
-        return _signed(content[:8]), _signed(content[8:]), *map(_signed, lanes), keys.tolist()
+        keys = np.unpackbits(np.frombuffer(b"".join(_lanes(shingle_hashes(words, 2))), np.uint8))[_PLACES] @ _POWERS
+        return _signed(content[:8]), _signed(content[8:]), *map(_signed, _lanes(shingle_hashes(words, width))), keys.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,16 +192,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 16, most_bits: int = 64) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 8, most_bits: int = 56) -> DataFrame:
     """(id, group_id) of each id that has a copy or a near copy with a smaller or larger id.
 
     group_id is the smallest id of the group, that id's own row included.  Rows
     of equal words are one node.  In a key's bucket of up to ``cap`` nodes all
     pairs are candidates; in any bucket each node meets the smallest node of the
-    bucket and of its finer bucket.  Null ids take no part.
+    bucket and of its finer bucket.  Of the 256 bits of the shingles' fingerprint
+    38 differ on average at a similarity of 0.8, with a deviation of six;
+    candidates with over ``most_bits`` are not read again.  Null ids take no part.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = cut(_signatures(d))
+    signed = cut(_signatures(d, width))
     lanes = [f"f{k}" for k in range(_LANES)]
     nodes = cut(signed.groupBy("c0", "c1").agg(F.min("id").alias("node"), *(F.min(f).alias(f) for f in lanes), F.count(F.lit(1)).alias("copies"), F.min("keys").alias("keys")))
     keyed = nodes.select("node", F.posexplode("keys").alias("table", "bits")).select("node", F.shiftleft(F.col("table").cast("long"), _COARSE + _FINE).bitwiseOR(F.col("bits")).alias("fine"))
@@ -217,6 +218,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = stars.union(pairs).union(met_finer).distinct()
     prints = nodes.select("node", pivot_row(F.col("f0")).alias("pivots"), *lanes)
     side = lambda x: prints.select(F.col("node").alias(x), F.col("pivots").alias(f"p{x}"), *(F.col(f).alias(f"{f}{x}") for f in lanes))
+    # Of the bits that differ a lane has about a quarter; half of them would be four deviations more.
     near = candidates.join(side("a"), "a").join(side("b"), "b").where(pivots_allow(F.col("pa"), F.col("pb"), most_bits // 2))
     differing = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in lanes[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
     near = cut(near.where(differing <= most_bits).select("a", "b"))
