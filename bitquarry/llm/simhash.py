@@ -192,13 +192,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 8, most_bits: int = 56) -> DataFrame:
+def _keyed(nodes: DataFrame, tables: int) -> DataFrame:
+    """A row (node, root, fine, coarse) for each of the first tables' keys of each node."""
+    keyed = nodes.select("node", "root", F.posexplode(F.slice("keys", 1, tables)).alias("table", "bits"))
+    keyed = keyed.select("node", "root", F.shiftleft(F.col("table").cast("long"), _COARSE + _FINE).bitwiseOR(F.col("bits")).alias("fine"))
+    return keyed.withColumn("coarse", F.shiftright("fine", _FINE))
+
+
+def _apart(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, ra, b, rb) of different roots as (a, b)."""
+    return pairs.where("ra <> rb").select("a", "b")
+
+
+def _candidates(nodes: DataFrame, tables: int, cap: int, stars_only: bool) -> DataFrame:
+    """(a, b), a > b, of nodes with different roots that share a bucket; see similar_groups."""
+    keyed = _keyed(nodes, tables)
+    shared = keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "root")).alias("least")).where("n > 1").select(F.col("coarse").alias("bucket"), "n", F.col("least.node").alias("b"), F.col("least.root").alias("rb"))
+    met = keyed.join(shared, keyed.coarse == shared.bucket).select("node", "root", "fine", "coarse", "n", "b", "rb")
+    if stars_only:
+        return _apart(met.where("node > b").select(F.col("node").alias("a"), F.col("root").alias("ra"), "b", "rb")).distinct()
+    met = cut(met)
+    stars = _apart(met.where("node > b").select(F.col("node").alias("a"), F.col("root").alias("ra"), "b", "rb"))
+    small = met.where(F.col("n").between(3, cap))
+    side = lambda x: small.select("coarse", F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    pairs = _apart(side("a").join(side("b"), "coarse").where("a > b"))
+    full = met.where(F.col("n") > cap)
+    finer = full.groupBy("fine").agg(F.min(F.struct("node", "root")).alias("centre"), F.max("node").alias("last")).where("centre.node < last").select(F.col("fine").alias("cell"), F.col("centre.node").alias("b"), F.col("centre.root").alias("rb"))
+    met_finer = _apart(full.select(F.col("node").alias("a"), F.col("root").alias("ra"), "fine").join(finer, F.col("fine") == F.col("cell")).where("a > b"))
+    return stars.union(pairs).union(met_finer).distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 8, most_bits: int = 56, first_tables: int = 6) -> DataFrame:
     """(id, group_id) of each id that has a copy or a near copy with a smaller or larger id.
 
     group_id is the smallest id of the group, that id's own row included.  Rows
     of equal words are one node.  In a key's bucket of up to ``cap`` nodes all
     pairs are candidates; in any bucket each node meets the smallest node of the
-    bucket and of its finer bucket.  Of the 256 bits of the shingles' fingerprint
+    bucket and of its finer bucket.  Pairs that earlier links already connect are
+    no candidates: a first round over ``first_tables`` links most of a large
+    group, so that the round over all tables does not meet its members again.
+    Of the 256 bits of the shingles' fingerprint
     38 differ on average at a similarity of 0.8, with a deviation of six;
     candidates with over ``most_bits`` are not read again.  Null ids take no part.
     """
@@ -206,24 +239,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = cut(_signatures(d, width))
     lanes = [f"f{k}" for k in range(_LANES)]
     nodes = cut(signed.groupBy("c0", "c1").agg(F.min("id").alias("node"), *(F.min(f).alias(f) for f in lanes), F.count(F.lit(1)).alias("copies"), F.min("keys").alias("keys")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("table", "bits")).select("node", F.shiftleft(F.col("table").cast("long"), _COARSE + _FINE).bitwiseOR(F.col("bits")).alias("fine"))
-    keyed = keyed.withColumn("coarse", F.shiftright("fine", _FINE))
-    shared = keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").withColumnRenamed("coarse", "bucket")
-    met = cut(keyed.join(shared, keyed.coarse == shared.bucket).select("node", "fine", "coarse", "n", "least"))
-    small = met.where(F.col("n").between(3, cap))
-    pairs = small.select("coarse", F.col("node").alias("a")).join(small.select("coarse", F.col("node").alias("b")), "coarse").where("a > b").select("a", "b")
-    finer = met.where(F.col("n") > cap).groupBy("fine").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").withColumnRenamed("fine", "cell")
-    met_finer = met.where(F.col("n") > cap).select("node", "fine").join(finer, F.col("fine") == F.col("cell")).where("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    stars = met.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    candidates = stars.union(pairs).union(met_finer).distinct()
     prints = nodes.select("node", pivot_row(F.col("f0")).alias("pivots"), *lanes)
     side = lambda x: prints.select(F.col("node").alias(x), F.col("pivots").alias(f"p{x}"), *(F.col(f).alias(f"{f}{x}") for f in lanes))
-    # Of the bits that differ a lane has about a quarter; half of them would be four deviations more.
-    near = candidates.join(side("a"), "a").join(side("b"), "b").where(pivots_allow(F.col("pa"), F.col("pb"), most_bits // 2))
-    differing = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in lanes[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
-    near = cut(near.where(differing <= most_bits).select("a", "b"))
-    found = components(cut(_verified(near, d, width, similarity)))
-    tied = nodes.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").where("copies > 1 or root is not null").select("c0", "c1", F.coalesce("root", "node").alias("group_id"))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        # Of the bits that differ a lane has about a quarter; half of them would be four deviations more.
+        near = candidates.join(side("a"), "a").join(side("b"), "b").where(pivots_allow(F.col("pa"), F.col("pb"), most_bits // 2))
+        differing = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in lanes[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
+        return cut(_verified(cut(near.where(differing <= most_bits).select("a", "b")), d, width, similarity))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        return nodes.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").drop("own")
+
+    first = verified(_candidates(nodes.withColumn("root", F.col("node")), first_tables, cap, True))
+    found = components(first)
+    later = verified(_candidates(rooted(found).withColumn("root", F.coalesce("root", "node")), _TABLES, cap, False))
+    tied = rooted(components(first.union(later))).where("copies > 1 or root is not null").select("c0", "c1", F.coalesce("root", "node").alias("group_id"))
     return signed.select("id", "c0", "c1").join(tied, ["c0", "c1"]).select("id", "group_id")
 
 
