@@ -232,7 +232,8 @@ def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | N
     if r.made > 1:
         # Always true, but not to be pushed down: a filter on a varying field would
         # otherwise be rewritten over all projections below, each expression many times.
-        there = there & (F.rand(0) >= 0)
+        # (A bare rand(0) >= 0 would be folded.)
+        there = there & (F.rand(0) + _LIT(1.0) >= 1.0)
     return r.df.select(*kept, F.when(there, whole).alias(out))
 
 
