@@ -242,15 +242,21 @@ def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | N
 
 def digits(value: Column, n: int) -> Column:
     """The n low bits of a long as a string of 0 and 1."""
-    return F.right(F.lpad(F.bin(value), 64, "0"), _LIT(n)) if n else _LIT("")
+    return F.substring(F.lpad(F.bin(value), 64, "0"), 65 - n, n) if n else _LIT("")
 
 
-def digits_to_bytes(bits: Column) -> Column:
-    """A string of 0 and 1, filled with zeros to whole bytes, as binary."""
-    count = F.ceil(F.length(bits) / 8).cast("int")
-    one = lambda k: F.lpad(F.conv(F.rpad(F.substring(bits, k * 8 + 1, _LIT(8)), 8, "0"), 2, 16), 2, "0")
-    joined = F.array_join(F.transform(F.sequence(_LIT(0), F.greatest(count - 1, _LIT(0))), one), "")
-    return F.unhex(F.when(count > 0, joined).otherwise(""))
+def digits_to_bytes(bits: Column, most: int | None = None) -> Column:
+    """A string of 0 and 1, of up to ``most`` characters, filled with zeros to whole bytes, as binary.
+
+    bits is read several times, so it should be a column that exists.
+    """
+    word = lambda at: F.lpad(F.conv(F.rpad(F.substring(bits, at, _LIT(64)), 64, "0"), 2, 16), 16, "0")
+    words = F.ceil(F.length(bits) / 64).cast("int")
+    if most is not None and most <= 64 * 8:
+        joined = F.concat(*(F.when(F.length(bits) > 64 * k, word(_LIT(64 * k + 1))).otherwise("") for k in range(max(1, -(-most // 64)))))
+    else:
+        joined = F.when(words > 0, F.array_join(F.transform(F.sequence(_LIT(0), F.greatest(words - 1, _LIT(0))), lambda k: word(k * 64 + 1)), "")).otherwise("")
+    return F.unhex(F.substring(joined, _LIT(1), (F.ceil(F.length(bits) / 8) * 2).cast("int")))
 
 
 def _code(node: N.Node, c: Column) -> tuple[Column, Column]:
@@ -270,16 +276,19 @@ def _code(node: N.Node, c: Column) -> tuple[Column, Column]:
     return (zigzag_encode(safe) if node.signed else safe), outside
 
 
-def _write(node: N.Node, c: Column) -> tuple[Column, Column]:
-    """(digits, error code or null) of a value."""
+def _write(node: N.Node, c: Column, let=lambda c: c) -> tuple[Column, Column]:
+    """(digits, error code or null) of a value.  let makes a column of what is read several times."""
     none = _LIT(None).cast("string")
     match node:
         case N.Boolean() | N.Integer() | N.Enumeration():
+            c = let(c)
             code, outside = _code(node, c)
             return digits(code, node.max_bits), F.when(c.isNull(), _LIT("ErrorInvalidBitFieldValue" if not isinstance(node, N.Enumeration) else "ErrorValueOverflow")).when(outside, _LIT("ErrorValueOverflow"))
         case N.Vbr():
+            c = let(c)
             code, outside = _code(node.whole, c)
-            k = vbr_groups(code, node)
+            code = let(code)
+            k = let(vbr_groups(code, node))
             forms = []
             for groups in range(1, len(node.segments) + 1):
                 left, parts = sum(node.segments[:groups]), []
@@ -291,13 +300,15 @@ def _write(node: N.Node, c: Column) -> tuple[Column, Column]:
                 forms.append(F.when(k == groups, F.concat(*parts)))
             return F.coalesce(*forms), F.when(c.isNull(), "ErrorInvalidBitFieldValue").when(outside, "ErrorValueOverflow")
         case N.Optional():
-            bits, error = _write(node.type, c)
+            c = let(c)
+            bits, error = _write(node.type, c, let)
             return F.when(c.isNull(), "0").otherwise(F.concat(_LIT("1"), bits)), F.when(c.isNotNull(), error)
         case N.Array():
             default = _LIT(node.type.default()).cast(node.type.spark_type())
-            v = F.coalesce(c, F.array().cast(node.spark_type()))
+            v = F.coalesce(let(c), F.array().cast(node.spark_type()))
             if node.min_elements:
                 v = F.concat(v, F.array_repeat(default, F.greatest(_LIT(node.min_elements) - F.size(v), _LIT(0))))
+            v = let(v)
             one = lambda x: _write(node.type, x)[0]
             marked = (lambda x, k: F.concat(F.when(k >= node.min_elements, "1").otherwise(""), one(x))) if node.delimited else lambda x, k: one(x)
             body = F.array_join(F.transform(v, marked), "")
@@ -308,13 +319,15 @@ def _write(node: N.Node, c: Column) -> tuple[Column, Column]:
             wrong = F.array_max(F.transform(v, lambda x: _write(node.type, x)[1]))
             return body, F.when(F.size(v) > node.max_elements, "ErrorTooManyElements").otherwise(wrong)
         case N.Object():
-            parts = [_write(n, c.getField(k)) for k, n in node.fields]
+            c = let(c)
+            parts = [_write(n, c.getField(k), let) for k, n in node.fields]
             return F.concat(*(b for b, _ in parts)), F.when(c.isNull(), "ErrorInvalidBitFieldValue").otherwise(F.coalesce(*(e for _, e in parts), none))
         case N.Variant():
-            tag = c.getField("tag")
+            c = let(c)
+            tag = let(c.getField("tag"))
             bits, error = F.when(tag.isNull() | (tag == "null"), digits(_LIT(0).cast("long"), node.tag_bits)), F.when(tag.isNull() | (tag == "null"), none)
             for name, i, n in node.arms:
-                b, e = _write(n, c.getField(name))
+                b, e = _write(n, c.getField(name), let)
                 bits, error = bits.when(tag == name, F.concat(digits(_LIT(i).cast("long"), node.tag_bits), b)), error.when(tag == name, e)
             return bits, error.otherwise("ErrorInvalidBitFieldValue")
     raise TypeError(f"{node} has no expression")
@@ -336,8 +349,17 @@ def _word(node: N.Node, c: Column) -> tuple[list[tuple[Column, int]], list[Colum
     return None
 
 
-def encode(value: Column, node: N.Node) -> Column:
-    """struct<payload, bit_len, error>; payload and bit_len are null where there is an error."""
+def encode(df: DataFrame, value: Column, node: N.Node, out: str) -> DataFrame:
+    """df with a column of struct<payload, bit_len, error>; payload and bit_len are null where there is an error."""
+    kept, made = [F.col(f"`{c}`") for c in df.columns if c != out], 0
+
+    def let(c: Column) -> Column:
+        nonlocal df, made
+        name = f"__put_{made}"
+        made += 1
+        df = df.withColumn(name, c)
+        return F.col(name)
+
     flat = _word(node, value) if node.min_bits == node.max_bits <= 63 else None
     if flat:
         total, at, word = node.max_bits, node.max_bits, _LIT(0).cast("long")
@@ -347,9 +369,13 @@ def encode(value: Column, node: N.Node) -> Column:
             word = word.bitwiseOR(F.shiftleft(code, at + 8 * size - total) if 8 * size <= 63 else F.shiftleft(code, at))
         if 8 * size > 63:
             word = F.shiftleft(word, 8 * size - total)
-        error = F.coalesce(*flat[1], _LIT(None).cast("string"))
+        error = let(F.coalesce(*flat[1], _LIT(None).cast("string")))
         payload, n = F.unhex(F.right(F.lpad(F.hex(word), 16, "0"), _LIT(2 * size))), _LIT(total)
     else:
-        bits, error = _write(node, value)
-        payload, n = digits_to_bytes(bits), F.length(bits)
-    return F.struct(F.when(error.isNull(), payload).alias("payload"), F.when(error.isNull(), n.cast("long")).alias("bit_len"), error.alias("error"))
+        bits, error = _write(node, value, let)
+        bits, error = let(bits), let(error)
+        payload, n = digits_to_bytes(bits, node.max_bits), F.length(bits)
+    # A column of its own, or each later use of the payload would compute it again.
+    payload = let(F.when(error.isNull(), payload))
+    whole = F.struct(payload.alias("payload"), F.when(error.isNull(), n.cast("long")).alias("bit_len"), error.alias("error"))
+    return df.select(*kept, whole.alias(out))

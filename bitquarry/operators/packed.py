@@ -72,7 +72,7 @@ def decode(df: DataFrame, payload: str, node: Node, out: str = "decoded", mode:
 def encode(df: DataFrame, value: Column, node: Node, out: str = "encoded", mode: str = "PERMISSIVE", max_bytes: int | None = None, engine: str = "auto") -> DataFrame:
     """df with out: struct<payload, bit_len, error>; max_bytes bounds the message."""
     if engine == "native" or engine == "auto" and native.reads_natively(node):
-        done = df.withColumn(out, native.encode(value, node))
+        done = native.encode(df, value, node, out)
         if max_bytes is not None:
             over = F.octet_length(F.col(out)["payload"]) > max_bytes
             done = done.withColumn(out, F.when(over, F.struct(F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("bit_len"), F.lit("ErrorInsufficentBufferSize").alias("error"))).otherwise(F.col(out)))
@@ -100,7 +100,7 @@ def bit_size(df: DataFrame, value: Column, node: Node, out: str = "bits") -> Dat
             return None
 
     if native.reads_natively(node):
-        return df.withColumn(out, native.encode(value, node)["bit_len"])
+        return native.encode(df, value, node, "__encoded").withColumn(out, F.col("__encoded")["bit_len"]).drop("__encoded")
     return _arrow_map(df, value, out, T.LongType(), one)
 
 
@@ -115,7 +115,7 @@ def validate(df: DataFrame, value: Column, node: Node, out: str = "code") -> Dat
             return e.code
 
     if native.reads_natively(node):
-        return df.withColumn(out, F.coalesce(native.encode(value, node)["error"], F.lit("Ok")))
+        return native.encode(df, value, node, "__encoded").withColumn(out, F.coalesce(F.col("__encoded")["error"], F.lit("Ok"))).drop("__encoded")
     return _arrow_map(df, value, out, T.StringType(), one)
 
 

@@ -291,7 +291,7 @@ def explode_back_to_back(spark, sf_dir):
     node = N.obj(supplier=N.uint(17))
     t = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
     bits = F.array_join(F.transform("keys", lambda k: native.digits(k, 17)), "")
-    t = t.select(F.col("s_nationkey").alias("nation"), native.digits_to_bytes(bits).alias("payload"), F.size("keys").alias("n"))
+    t = t.withColumn("bits", bits).select(F.col("s_nationkey").alias("nation"), native.digits_to_bytes(F.col("bits")).alias("payload"), F.size("keys").alias("n"))
     return packed.explode_messages(t, "payload", node, count="n").select("nation", "message_no", F.col("message.value.supplier").cast("long").alias("supplier"))
 
 
