@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A space or line feed before other white space or at the end: no fast path.
 _ODD = re.compile(r"[ \n](?=\s|\Z)")
+#: The vocabulary's one special token; its string in a text is that token, as the JSON form of the tokeniser has it.
+_SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
@@ -47,7 +49,7 @@ class Encoder:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_SPECIAL: max(ranks.values()) + 1})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, k in ranks.items():
             self.sizes[k] = len(token)
@@ -55,7 +57,7 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         units = [u if u[:1] == "\n" else " " + u for u in units]
-        ids = self.bpe.encode_to_numpy("".join(units))
+        ids = self.bpe.encode_to_numpy("".join(units), allowed_special="all")
         lengths = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
         ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths)) + 1
         ids, begin = ids.astype("<u4").tobytes(), 0
@@ -64,13 +66,13 @@ class Encoder:
             begin = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or t[0].isspace() or _ODD.search(t) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        split = [None if not t or t[0].isspace() or _ODD.search(t) or _SPECIAL in t else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if len(self.units) > self.most:
             self.units = {}
         if new := set().union(*filter(None, split)).difference(self.units):
             self._learn(list(new))
         get = self.units.__getitem__
-        return [self.bpe.encode_to_numpy(t).astype("<u4").tobytes() if u is None else b"".join(map(get, u))[4:] for t, u in zip(texts, split)]
+        return [self.bpe.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() if u is None else b"".join(map(get, u))[4:] for t, u in zip(texts, split)]
 
 
 def assign(lengths: list[int], sequences: int, max_tokens: int, linear: float, quadratic: float) -> Iterator[tuple[int, int, int, int]]:

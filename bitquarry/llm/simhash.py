@@ -264,4 +264,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share an id are one document and stay or go together.
     """
     gone = similar_groups(docs, id_col, text_col, **how).where("id <> group_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
