@@ -10,15 +10,16 @@ more than ``cap`` fingerprints makes no pairs.  Its members are linked through
 the 65 values within one bit of each: two fingerprints are within two bits if
 and only if they share such a value, and no value has over 65 of them.
 
-Similar form (``similar_groups``): word shingles of width five and a Jaccard
-similarity of at least 0.8.  Candidates come from many short keys of a longer
-fingerprint over word pairs, whose angle stays small where a few words differ;
-the pivot table and long fingerprints over the shingles thin them, and the
-shingle sets themselves decide.
+Similar form (``similar_groups``): sets of word shingles of width five and a
+Jaccard similarity of at least 0.8.  Candidates are exact: with shingles in one
+order, rare ones first, two similar sets share one of their first fifth (a
+prefix).  Sizes, places and numbers of shared prefix shingles thin them without
+a loss, and the sets themselves decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -135,20 +136,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 # Similar groups ------------------------------------------------------------
 
-_LANES, _TABLES, _COARSE, _FINE = 4, 48, 22, 10
-_MIX = [np.uint64(xxhash.xxh64_intdigest(b"lane", k) | 1) for k in range(_LANES)]
-_PLACES = np.random.default_rng(20240229).permuted(np.tile(np.arange(64 * _LANES), (_TABLES, 1)), axis=1)[:, : _COARSE + _FINE]
-_POWERS = 1 << np.arange(_COARSE + _FINE - 1, -1, -1, dtype=np.int64)
-
-
-def _lanes(hashes: np.ndarray) -> list[bytes]:
-    h = hashes.astype(np.uint64)
-    out = [majority(h)]
-    for m in _MIX[1:]:
-        x = h * m
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(majority(x ^ (x >> np.uint64(32))))
-    return out
+#: Counters of the shingles' frequencies.  They only order shingles; a shared counter costs time, not pairs.
+_CELLS = 1 << 21
+_SURE = 1e-6
 
 
 def jaccard(a: str | None, b: str | None, width: int) -> float:
@@ -157,26 +147,50 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, c0, c1, f0 to f3, keys): the words' 128-bit hash, the long fingerprint of the shingles, candidate keys of the word pairs' one."""
-    types = [pa.int64()] * (3 + _LANES) + [pa.list_(pa.int64())]
-    names = ["id", "c0", "c1", *(f"f{k}" for k in range(_LANES)), "keys"]
-    schema = pa.schema(list(zip(names, types)))
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes, ascending, of each text (the second column)."""
+    for t in batch.column(1):
+        yield np.unique(shingle_hashes(word_list(t.as_py()), width).astype(np.uint64))
+
+
+def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """In how many texts the shingles of each counter are, summed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            for s in _sets(batch, width):
+                np.add.at(counts, (s % np.uint64(_CELLS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["counts"])
+
+    add = lambda a, b: b if a is None else a if b is None else np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
+    total = docs.mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.int32)).treeAggregate(None, add, add)
+    return np.zeros(_CELLS, np.int32) if total is None else total
+
+
+def _signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, c0, c1, n, prefix): the shingle set's 128-bit hash and size, and its rarest shingles.
+
+    Of sets of n and at least similarity * n shared shingles, in one order of
+    all shingles, the first n - ceil(similarity * n) + 1 have one in common.
+    """
+    frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, width))
+    schema = pa.schema([("id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
-    def one(text: str | None) -> tuple:
-        words = word_list(text)
-        content = xxhash.xxh3_128_digest(b" ".join(words))
-        keys = np.unpackbits(np.frombuffer(b"".join(_lanes(shingle_hashes(words, 2))), np.uint8))[_PLACES] @ _POWERS
-        return _signed(content[:8]), _signed(content[8:]), *map(_signed, _lanes(shingle_hashes(words, width))), keys.tolist()
+    def one(s: np.ndarray) -> tuple:
+        content = xxhash.xxh3_128_digest(s.tobytes())
+        order = np.lexsort((s, frequency.value[(s % np.uint64(_CELLS)).astype(np.int64)]))
+        first = len(s) - math.ceil(similarity * len(s) - _SURE) + 1 if len(s) else 0
+        return _signed(content[:8]), _signed(content[8:]), len(s), s[order[:first]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows = [one(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:]))], schema=schema)
+                columns = zip(*map(one, _sets(part, width)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(map(list, columns), list(schema)[1:]))], schema=schema)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", keys array<long>")
+    return docs.mapInArrow(run, "id long, c0 long, c1 long, n int, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -192,69 +206,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _keyed(nodes: DataFrame, tables: int) -> DataFrame:
-    """A row (node, root, fine, coarse) for each of the first tables' keys of each node."""
-    keyed = nodes.select("node", "root", F.posexplode(F.slice("keys", 1, tables)).alias("table", "bits"))
-    keyed = keyed.select("node", "root", F.shiftleft(F.col("table").cast("long"), _COARSE + _FINE).bitwiseOR(F.col("bits")).alias("fine"))
-    return keyed.withColumn("coarse", F.shiftright("fine", _FINE))
+def _met(nodes: DataFrame) -> DataFrame:
+    """(token, node, n, at, rest) of each prefix shingle that several nodes have; rest is how many shingles come after the prefix."""
+    keyed = nodes.select("node", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("at", "token"))
+    shared = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select(F.col("token").alias("shared"))
+    return keyed.join(shared, keyed.token == shared.shared).select("token", "node", "n", "at", "rest")
+
 
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows with sides (a, na, ata, resta, ...) that their sizes and prefixes allow.
 
-def _apart(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, ra, b, rb) of different roots as (a, b)."""
-    return pairs.where("ra <> rb").select("a", "b")
+    Similar sets share at least similarity / (1 + similarity) of their added
+    sizes.  At a shared shingle, no more are shared than the fewer before it and
+    the fewer after it; nor more than those of the prefixes and the rest of one.
+    """
+    least = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - _SURE
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - _SURE
+    place = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least
+    counted = pairs.where(sizes & place).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(least - F.greatest("resta", "restb")).alias("needed"))
+    return counted.where("shared >= needed").select("a", "b")
 
 
-def _candidates(nodes: DataFrame, tables: int, cap: int, stars_only: bool) -> DataFrame:
-    """(a, b), a > b, of nodes with different roots that share a bucket; see similar_groups."""
-    keyed = _keyed(nodes, tables)
-    shared = keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "root")).alias("least")).where("n > 1").select(F.col("coarse").alias("bucket"), "n", F.col("least.node").alias("b"), F.col("least.root").alias("rb"))
-    met = keyed.join(shared, keyed.coarse == shared.bucket).select("node", "root", "fine", "coarse", "n", "b", "rb")
-    if stars_only:
-        return _apart(met.where("node > b").select(F.col("node").alias("a"), F.col("root").alias("ra"), "b", "rb")).distinct()
-    met = cut(met)
-    stars = _apart(met.where("node > b").select(F.col("node").alias("a"), F.col("root").alias("ra"), "b", "rb"))
-    small = met.where(F.col("n").between(3, cap))
-    side = lambda x: small.select("coarse", F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    pairs = _apart(side("a").join(side("b"), "coarse").where("a > b"))
-    full = met.where(F.col("n") > cap)
-    finer = full.groupBy("fine").agg(F.min(F.struct("node", "root")).alias("centre"), F.max("node").alias("last")).where("centre.node < last").select(F.col("fine").alias("cell"), F.col("centre.node").alias("b"), F.col("centre.root").alias("rb"))
-    met_finer = _apart(full.select(F.col("node").alias("a"), F.col("root").alias("ra"), "fine").join(finer, F.col("fine") == F.col("cell")).where("a > b"))
-    return stars.union(pairs).union(met_finer).distinct()
+def _side(met: DataFrame, x: str) -> DataFrame:
+    return met.select("token", F.col("node").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "at", "rest", "root") if c in met.columns))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, cap: int = 8, most_bits: int = 56, first_tables: int = 6) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group_id) of each id that has a copy or a near copy with a smaller or larger id.
 
     group_id is the smallest id of the group, that id's own row included.  Rows
-    of equal words are one node.  In a key's bucket of up to ``cap`` nodes all
-    pairs are candidates; in any bucket each node meets the smallest node of the
-    bucket and of its finer bucket.  Pairs that earlier links already connect are
-    no candidates: a first round over ``first_tables`` links most of a large
-    group, so that the round over all tables does not meet its members again.
-    Of the 256 bits of the shingles' fingerprint
-    38 differ on average at a similarity of 0.8, with a deviation of six;
-    candidates with over ``most_bits`` are not read again.  Null ids take no part.
+    of equal shingle sets are one node.  All pairs of nodes that share a shingle
+    of their prefixes and may be similar are compared, except pairs that earlier
+    links already connect: in a first round each node meets the smallest node
+    of each of its shingles, which links most of a large group.  Null ids take
+    no part.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = cut(_signatures(d, width))
-    lanes = [f"f{k}" for k in range(_LANES)]
-    nodes = cut(signed.groupBy("c0", "c1").agg(F.min("id").alias("node"), *(F.min(f).alias(f) for f in lanes), F.count(F.lit(1)).alias("copies"), F.min("keys").alias("keys")))
-    prints = nodes.select("node", pivot_row(F.col("f0")).alias("pivots"), *lanes)
-    side = lambda x: prints.select(F.col("node").alias(x), F.col("pivots").alias(f"p{x}"), *(F.col(f).alias(f"{f}{x}") for f in lanes))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        # Of the bits that differ a lane has about a quarter; half of them would be four deviations more.
-        near = candidates.join(side("a"), "a").join(side("b"), "b").where(pivots_allow(F.col("pa"), F.col("pb"), most_bits // 2))
-        differing = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in lanes[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
-        return cut(_verified(cut(near.where(differing <= most_bits).select("a", "b")), d, width, similarity))
+    signed = cut(_signatures(d, width, similarity))
+    nodes = cut(signed.groupBy("c0", "c1").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("prefix").alias("prefix")))
+    met = cut(_met(nodes))
+    texts = cut(d.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
 
     def rooted(found: DataFrame) -> DataFrame:
-        return nodes.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").drop("own")
-
-    first = verified(_candidates(nodes.withColumn("root", F.col("node")), first_tables, cap, True))
-    found = components(first)
-    later = verified(_candidates(rooted(found).withColumn("root", F.coalesce("root", "node")), _TABLES, cap, False))
-    tied = rooted(components(first.union(later))).where("copies > 1 or root is not null").select("c0", "c1", F.coalesce("root", "node").alias("group_id"))
+        return met.join(found.select(F.col("node").alias("own"), "root"), F.col("node") == F.col("own"), "left").drop("own").withColumn("root", F.coalesce("root", "node"))
+
+    centre = met.join(met.groupBy("token").agg(F.min("node").alias("least")).withColumnRenamed("token", "of"), (F.col("token") == F.col("of")) & (F.col("node") == F.col("least"))).drop("of", "least")
+    first = cut(_verified(cut(_possible(_side(met, "a").join(_side(centre, "b"), "token").where("a > b"), similarity)), texts, width, similarity))
+    roots = cut(rooted(components(first)))
+    several = roots.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    apart = cut(roots.join(several, "token", "left_semi"))
+    later = cut(_verified(cut(_possible(_side(apart, "a").join(_side(apart, "b"), "token").where("a > b and roota <> rootb"), similarity)), texts, width, similarity))
+    found = components(first.union(later))
+    tied = nodes.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").where("copies > 1 or root is not null").select("c0", "c1", F.coalesce("root", "node").alias("group_id"))
     return signed.select("id", "c0", "c1").join(tied, ["c0", "c1"]).select("id", "group_id")
 
 
