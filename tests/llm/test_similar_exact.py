@@ -22,3 +22,14 @@ def test_all_block_edits_are_found(spark):
     assert 0.8 <= simhash.jaccard(rows[0], rows[1], 5) < 0.82
     got = grouped(spark, rows)
     assert got == {k: k - k % 2 for k in range(len(rows))}
+
+
+def test_repeated_lines_do_not_part_copies(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for _ in range(10):
+        text, line = words(150), words(10)
+        rows += [f"{text} {line}", " ".join([text, *[line] * 10])]
+    assert simhash.jaccard(rows[0], rows[1], 5) > 0.9
+    assert grouped(spark, rows) == {k: k - k % 2 for k in range(len(rows))}
