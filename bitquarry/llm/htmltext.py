@@ -5,8 +5,8 @@ elements that declare themselves menus, notices, adverts, forms or comments
 count zero characters.  Text lengths are summed over a sliding window of lines; a
 surge is where the sum first passes a threshold, a dive where two lines in a row
 count zero, and the text between each surge (moved back to the zero line before
-it) and its dive is kept.  Where a page marks its article, lines
-outside count zero too and any text inside is a surge.
+it) and its dive is kept.  Where a page marks its article, characters inside
+count several times; the same sums decide inside and outside.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ _MARKS = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead "
     "topbar comment comments disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login search popup modal overlay widget toolbar pagination pager copyright disclaimer".split()
 )
+#: What a character in an article or main element counts.
+_ARTICLE_WEIGHT = 4
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 
@@ -115,10 +117,9 @@ def text_lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str, window: int = 3, threshold: int = 86) -> str:
     """The main text of one page; empty if it has none."""
     lines = text_lines(page)
-    marked = any(t and inside and not aside for t, aside, inside in lines)
-    size = [0 if aside or marked and not inside else len(t) for t, aside, inside in lines]
+    size = [0 if aside else len(t) * (_ARTICLE_WEIGHT if inside else 1) for t, aside, inside in lines]
     block = [sum(size[k : k + window]) for k in range(len(size))]
-    least = 1 if marked else min(threshold, max(block, default=0) / 4)
+    least = min(threshold, max(block, default=0) / 4)
     kept: list[str] = []
     k = 0
     while k < len(size):
