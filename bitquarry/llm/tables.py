@@ -1,4 +1,4 @@
-"""Tables shared by the operators: reading inputs and cutting lineage."""
+"""Tables shared by the operators: reading inputs, cutting lineage, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that may be broadcast.
+MOST_BROADCAST = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,16 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent, as in tests on one machine, a local
-    temporary folder is set as the checkpoint folder.
+    Only in one process (a local master, as in tests) may that setting be absent:
+    a local temporary folder is set as the checkpoint folder then.  Elsewhere
+    each executor would write to its own disk, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bitquarry-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        base = kept
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bitquarry-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/bitquarry-{uuid.uuid4().hex}"
 
 
@@ -38,3 +42,11 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of few columns, to be broadcast if it has at most ``most`` rows; else Spark shuffles it.
+
+    The rows are counted from the files' footers.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
