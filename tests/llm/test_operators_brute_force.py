@@ -302,7 +302,7 @@ def test_top_k(spark):
     rows[350] = (350, rows[100][1])
     rows += [(800, None), (850, [1.0, None] + [0.0] * 6), (900, [float("nan")] + [0.0] * 7), (950, [float("inf")] + [0.0] * 7), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("id"), F.lit(2).alias("v"), F.lit(3).alias("dim"))
-    got = topk.top_k(df, query_block=5, candidate_block=100, least_blocks=3)
+    got = topk.top_k(df, query_block=5, block=100, least_cells=3)
     same(got, TOPK, embeddings=df)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk.top_k(few).count() == 2
