@@ -48,12 +48,19 @@ class BitWriter:
     """Bits, the first being the most significant of the first byte.
 
     max_bytes bounds the storage; once a write fails the writer stays failed.
+    Whole bytes go to a buffer, so a long message takes time linear in its bits.
     """
 
     def __init__(self, max_bytes: int | None = None):
-        self.value = self.size = 0
+        self.done, self.last, self.size = bytearray(), 0, 0
         self.max_bytes, self.ok = max_bytes, True
 
+    @property
+    def value(self) -> int:
+        """All bits as one number."""
+        n = self.size - 8 * len(self.done)
+        return int.from_bytes(self.done, "big") << n | self.last
+
     def put(self, value: int, n: int, word: int | None = None) -> None:
         """The n low bits of a value; those above are dropped.  word is the widest n."""
         if word is not None and n > word:
@@ -61,25 +68,38 @@ class BitWriter:
         if not self.ok or self.max_bytes is not None and self.size + n > 8 * self.max_bytes:
             self.ok = False
             raise CodecError("ErrorInsufficentBufferSize")
-        self.value = self.value << n | value & ((1 << n) - 1)
+        held = self.size - 8 * len(self.done) + n
+        self.last = self.last << n | value & ((1 << n) - 1)
         self.size += n
+        if held >= 512:
+            self.done += (self.last >> held % 8).to_bytes(held // 8, "big")
+            self.last &= (1 << held % 8) - 1
+
+    def put_all(self, values: list[int], n: int) -> None:
+        """Several values of n bits each, in full or not at all."""
+        if not self.ok or self.max_bytes is not None and self.size + n * len(values) > 8 * self.max_bytes:
+            self.ok = False
+            raise CodecError("ErrorInsufficentBufferSize")
+        for v in values:
+            self.put(v, n)
 
     def pad(self, n: int) -> None:
         self.put(0, n)
 
     def to_bytes(self) -> bytes:
         """With zeros after the last bit up to a whole byte."""
-        n = -(-self.size // 8)
-        return (self.value << (8 * n - self.size)).to_bytes(n, "big")
+        n = self.size - 8 * len(self.done)
+        size = -(-n // 8)
+        return bytes(self.done) + (self.last << (8 * size - n)).to_bytes(size, "big")
 
 
 class BitReader:
     """Reads bits from a position on; bit_len may leave out some of the last byte."""
 
     def __init__(self, data: bytes, bit_len: int | None = None, start: int = 0):
-        self.data, self.at = int.from_bytes(data, "big"), start
-        self.total = 8 * len(data)
-        self.size = self.total if bit_len is None else min(bit_len, self.total)
+        self.data, self.at = data, start
+        total = 8 * len(data)
+        self.size = total if bit_len is None else min(bit_len, total)
         self.warning: str | None = None
 
     def has(self, n: int) -> bool:
@@ -90,8 +110,19 @@ class BitReader:
             raise CodecError("ErrorTooManyBits")
         if not self.has(n):
             raise CodecError("ErrorExpectedMoreBits")
+        first, end = self.at >> 3, (self.at + n + 7) >> 3
         self.at += n
-        return self.data >> (self.total - self.at) & ((1 << n) - 1)
+        return int.from_bytes(self.data[first:end], "big") >> (8 * end - self.at) & ((1 << n) - 1)
+
+    def peek_all(self, count: int, n: int) -> list[int]:
+        """count values of n bits each, the position unmoved."""
+        begin, out = self.at, []
+        for at in range(0, count, 96):
+            some = min(96, count - at)
+            word = self.get(some * n)
+            out += [word >> n * k & ((1 << n) - 1) for k in range(some - 1, -1, -1)]
+        self.at = begin
+        return out
 
 
 def byte_size(bits: int) -> int:
