@@ -3,10 +3,16 @@
 Reading.  Fields at a fixed offset are slices of a few bytes, so pruning a
 decoded field prunes its work.  After the first field of varying size each
 field's end is a column of its own in a projection of its own; Catalyst does not
-merge such projections, since that would repeat the expressions.
+merge such projections, since that would repeat the expressions.  It would
+rewrite a filter over them all the same, so the result of a varying message, and
+every encoded payload, is the output of a generator (``sealed``): filters on it
+stay above, filters on other columns pass below.
 
 Writing.  A message is a string of binary digits, turned into bytes eight at a
 time; objects of up to 63 bits that never vary are one long and shifts.
+
+Floats are arithmetic on doubles: scaling by powers of two is exact, ``rint``
+rounds to even.  NaN is written with the quiet bit alone.
 """
 
 from __future__ import annotations
@@ -65,11 +71,67 @@ def get_bits(payload: Column, at: Position, n: int) -> Column:
     return F.shiftleft(get_bits(payload, at, n - 32), 32).bitwiseOR(get_bits(payload, at + (n - 32), 32))
 
 
+def sealed(df: DataFrame, kept: list[Column], c: Column, out: str) -> DataFrame:
+    """df with the columns kept and c, as the one row of a generator, through which no filter on it is rewritten."""
+    return df.select(*kept, F.inline(F.array(F.struct(c.alias(out)))))
+
+
+def scaled(x: Column, k: Column) -> Column:
+    """x * 2**k in two exact steps, of which neither leaves the range of doubles."""
+    half = F.floor(k / 2)
+    return x * F.pow(_LIT(2.0), half) * F.pow(_LIT(2.0), k - half)
+
+
+def pack_float(c: Column, node: N.Float, let=lambda c: c) -> tuple[Column, Column]:
+    """(code as a long's bits, whether a finite value became infinite).
+
+    Rounded to the fraction's width, then, below the smallest normal value,
+    again at its last place.
+    """
+    exponent, fraction = node.exponent, node.fraction
+    top, bias = (1 << exponent) - 1, (1 << (exponent - 1)) - 1
+    given = let(c.cast("double"))
+    x = let(given.cast(node.spark_type()).cast("double"))
+    size = F.abs(x)
+    finite = ~F.isnan(x) & (size < float("inf"))
+    about = let(F.when(finite & (size > 0), F.floor(F.log2(size))))
+    part = scaled(size, -about)
+    e = let(about + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0))
+    rounded = let(F.rint(scaled(size, fraction - e)))
+    carried = rounded >= float(1 << (fraction + 1))
+    whole = let(F.when(carried, rounded / 2).otherwise(rounded))
+    de = let(e + carried.cast("int") + bias)
+    small = F.rint(scaled(whole, de - 1)).cast("long")
+    body = F.when(de >= top, _LIT(top << fraction)).when(de > 0, F.shiftleft(de.cast("long"), fraction).bitwiseOR(whole.cast("long").bitwiseAND(_LIT((1 << fraction) - 1)))).otherwise(small.bitwiseAND(_LIT((1 << fraction) - 1)))
+    body = F.when(F.isnan(x), _LIT(top << fraction | (1 << fraction >> 1))).when(size == float("inf"), _LIT(top << fraction)).when(size == 0, _LIT(0).cast("long")).otherwise(body)
+    body = let(body.cast("long"))
+    minus = (x < 0) | (x == 0) & x.cast("string").startswith("-")
+    code = F.when(minus, body.bitwiseOR(_LIT(_signed(1 << (exponent + fraction))))).otherwise(body)
+    return code, ~F.isnan(given) & (F.abs(given) < float("inf")) & (body == top << fraction)
+
+
+def unpack_float(raw: Column, node: N.Float) -> Column:
+    """The value of a code; raw is read several times."""
+    exponent, fraction = node.exponent, node.fraction
+    top, bias = (1 << exponent) - 1, (1 << (exponent - 1)) - 1
+    e = F.shiftrightunsigned(raw, fraction).bitwiseAND(_LIT(top))
+    f = raw.bitwiseAND(_LIT((1 << fraction) - 1)).cast("double")
+    value = F.when((e == top) & (f != 0), float("nan")).when(e == top, float("inf")).when(e == 0, scaled(f, _LIT(1 - bias - fraction))).otherwise(scaled(f + float(1 << fraction), e - bias - fraction))
+    return F.when(F.shiftrightunsigned(raw, exponent + fraction).bitwiseAND(_LIT(1)) == 1, -value).otherwise(value).cast(node.spark_type())
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def reads_natively(node: N.Node) -> bool:
     """Whether expressions can express a node."""
     match node:
         case N.Boolean() | N.Integer() | N.Enumeration():
             return True
+        case N.Float():
+            # In memory a float or a double must hold all exponents.
+            return node.exponent <= (8 if node.max_bits <= 32 else 11) and node.fraction <= 52
         case N.Vbr():
             return len(node.segments) <= MOST_ALTERNATIVES
         case N.Optional():
@@ -125,6 +187,9 @@ class _Reader:
                 if isinstance(node, N.Enumeration) and node.most - node.least + 1 < 1 << node.max_bits:
                     self.fail(get_bits(self.payload, at, node.max_bits) > node.most - node.least, "ErrorValueOverflow", here)
                 return self.scalar(node, at), end
+            case N.Float():
+                self.need(at + node.max_bits, here)
+                return unpack_float(self.let(get_bits(self.payload, at, node.max_bits)), node), at + node.max_bits
             case N.Vbr():
                 return self.vbr(node, at, here)
             case N.Optional():
@@ -228,13 +293,8 @@ def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | N
     error = r.let(error)
     whole = F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"), F.when(error.isNull(), (_LIT(end) if isinstance(end, int) else end).cast("long") - start).alias("bits_read"))
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    there = p.isNotNull()
-    if r.made > 1:
-        # Always true, but not to be pushed down: a filter on a varying field would
-        # otherwise be rewritten over all projections below, each expression many times.
-        # (A bare rand(0) >= 0 would be folded.)
-        there = there & (F.rand(0) + _LIT(1.0) >= 1.0)
-    return r.df.select(*kept, F.when(there, whole).alias(out))
+    whole = F.when(p.isNotNull(), whole)
+    return sealed(r.df, kept, whole, out) if r.made > 1 else r.df.select(*kept, whole.alias(out))
 
 
 # Writing ---------------------------------------------------------------------
@@ -284,6 +344,10 @@ def _write(node: N.Node, c: Column, let=lambda c: c) -> tuple[Column, Column]:
             c = let(c)
             code, outside = _code(node, c)
             return digits(code, node.max_bits), F.when(c.isNull(), _LIT("ErrorInvalidBitFieldValue" if not isinstance(node, N.Enumeration) else "ErrorValueOverflow")).when(outside, _LIT("ErrorValueOverflow"))
+        case N.Float():
+            c = let(c)
+            code, outside = pack_float(c, node, let)
+            return digits(code, node.max_bits), F.when(c.isNull(), "ErrorInvalidBitFieldValue").when(outside, "ErrorValueOverflow")
         case N.Vbr():
             c = let(c)
             code, outside = _code(node.whole, c)
@@ -378,4 +442,4 @@ def encode(df: DataFrame, value: Column, node: N.Node, out: str) -> DataFrame:
     # A column of its own, or each later use of the payload would compute it again.
     payload = let(F.when(error.isNull(), payload))
     whole = F.struct(payload.alias("payload"), F.when(error.isNull(), n.cast("long")).alias("bit_len"), error.alias("error"))
-    return df.select(*kept, whole.alias(out))
+    return sealed(df, kept, whole, out)

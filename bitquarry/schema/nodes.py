@@ -8,6 +8,7 @@ variants, lists for arrays, labels for enumerations that have them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from bitquarry.functions import text as five_bit
 from bitquarry.functions.bits import BitReader, BitWriter, CodecError, unzigzag, width_of, zigzag
-from bitquarry.functions.floats import carrier, pack_floats, unpack_floats
+from bitquarry.functions.floats import carrier, pack_float, unpack_float
 
 
 def _int_type(bits: int, signed: bool) -> T.DataType:
@@ -207,14 +208,14 @@ class Float(Node):
     def write(self, w, value):
         if value is None:
             raise CodecError("ErrorInvalidBitFieldValue")
-        code = int(pack_floats(np.array([value]), self.exponent, self.fraction)[0])
+        code = pack_float(value, self.exponent, self.fraction)
         top = ((1 << self.exponent) - 1) << self.fraction
-        if np.isfinite(value) and code & ((1 << (self.exponent + self.fraction)) - 1) == top:
+        if math.isfinite(value) and code & ((1 << (self.exponent + self.fraction)) - 1) == top:
             raise CodecError("ErrorValueOverflow")
         w.put(code, self.max_bits)
 
     def read(self, r):
-        return float(unpack_floats(np.array([r.get(self.max_bits)], np.uint64), self.exponent, self.fraction)[0])
+        return unpack_float(r.get(self.max_bits), self.exponent, self.fraction)
 
 
 @dataclass(frozen=True)
