@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import total_ordering
+
 #: Result codes in declaration order; the number is the index.
 RESULT_CODES = (
     "Ok",
@@ -125,6 +128,36 @@ class BitReader:
         return out
 
 
+@total_ordering
+@dataclass(frozen=True)
+class BitSize:
+    """A number of bits that never falls below zero; bytes and odd bits are its parts."""
+
+    bits: int = 0
+
+    def __post_init__(self):
+        if self.bits < 0:
+            raise ValueError("a size below zero")
+
+    whole_bytes = property(lambda self: self.bits // 8)
+    odd_bits = property(lambda self: self.bits % 8)
+
+    def __add__(self, other: "BitSize | int") -> "BitSize":
+        return BitSize(self.bits + int(other))
+
+    def __sub__(self, other: "BitSize | int") -> "BitSize":
+        return BitSize(self.bits - int(other))
+
+    def __mul__(self, times: int) -> "BitSize":
+        return BitSize(self.bits * times)
+
+    def __lt__(self, other: "BitSize | int") -> bool:
+        return self.bits < int(other)
+
+    def __int__(self) -> int:
+        return self.bits
+
+
 def byte_size(bits: int) -> int:
     return -(-bits // 8)
 

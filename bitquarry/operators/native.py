@@ -279,7 +279,7 @@ class _Reader:
         return F.struct(name.otherwise("null").alias("tag"), *parts), self.let(end.otherwise(at + node.tag_bits))
 
 
-def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | None = None, start: int = 0) -> DataFrame:
+def decode(df: DataFrame, payload: str, node: N.Node, out: str, bit_len: str | None = None, start: Position = 0) -> DataFrame:
     """df with a column of struct<value, error, bits_read>; a null payload gives null.
 
     The first failing field in the order of the message names the error, and the

@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from bitquarry.functions.bits import CodecError
 from bitquarry.operators import native
-from bitquarry.schema.nodes import Node, Object, decode_one, encode_one
+from bitquarry.schema.nodes import Boolean, Float, Integer, Node, Object, decode_one, encode_one
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
@@ -143,6 +143,11 @@ def select_fields(df: DataFrame, payload: str, node: Object, *paths: str) -> Dat
     return df
 
 
+def _plain(node: Node) -> bool:
+    """Whether all bits of a message of the node's size are values."""
+    return isinstance(node, Boolean | Integer) or isinstance(node, Float) and native.reads_natively(node) or isinstance(node, Object) and bool(node.fields) and all(_plain(n) for _, n in node.fields)
+
+
 def explode_messages(df: DataFrame, payload: str, node: Node, out: str = "message", count: str | None = None, least_bits: int | None = None) -> DataFrame:
     """A row for each of several messages that stand back to back in a payload, at bit granularity.
 
@@ -151,8 +156,14 @@ def explode_messages(df: DataFrame, payload: str, node: Node, out: str = "messag
     than the smallest message has (a byte at least, so that the fill is none).
     An error ends the payload.
     """
+    size, least = node.max_bits, least_bits or max(8, node.min_bits)
+    if size == node.min_bits and _plain(node):
+        # Each message's place follows from its number: no Python.
+        bits = F.octet_length(payload) * 8
+        n = F.least(F.col(count).cast("int"), (bits / size).cast("int") + 1) if count else F.when(bits >= least, ((bits - least) / size).cast("int") + 1)
+        rows = df.withColumn("message_no", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+        return native.decode(rows, payload, node, out, start=F.col("message_no") * size)
     item = T.StructType([T.StructField("message_no", T.IntegerType()), T.StructField("value", node.spark_type()), T.StructField("error", T.StringType()), T.StructField("bits_read", T.LongType())])
-    least = least_bits or max(8, node.min_bits)
 
     def one(x):
         out, at = [], 0

@@ -6,13 +6,12 @@ frames as they are; state exists only for the windows, bounded by the watermark.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitquarry.operators import packed
 from bitquarry.schema.nodes import Node
+from bitquarry.sources.stored import shared_dir
 
 
 def windowed(stream: DataFrame, payload: str, node: Node, time: str, key: str, value: str, width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -34,8 +33,22 @@ def sessions(stream: DataFrame, payload: str, node: Node, time: str, key: str, g
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, run to its end into a memory table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that a stream has now, run to its end into stored tables.
+
+    Each batch is written to a folder of its own by its number, so a batch that
+    runs again replaces what it wrote; nothing is gathered on the driver.
+    complete gives the last batch's table, append and update all batches' rows.
+    The state stands in the shared folder beside them.
+    """
+    path, written = shared_dir(stream.sparkSession), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    numbers = sorted(set(written))
+    if not numbers:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(f"{path}/batch-{n}" for n in (numbers[-1:] if mode == "complete" else numbers)))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from bitquarry.operators import packed
-from bitquarry.plans import queries as Q
+from bitquarry.plans import catalog as Q
 from bitquarry.schema.compiler import compile_text
 from bitquarry.schema.nodes import encode_one
 from bitquarry.sources import framed
