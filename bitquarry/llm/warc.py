@@ -8,12 +8,15 @@ columns for archives that others wrote.
 The reader trusts nothing.  A member must inflate and pass its checksum, a
 record must start with a version line, have a length, all its bytes and the
 digests that its headers state.  After a failed check it searches for the next
-member (or version line) that passes, goes on from there, and reports the bytes
-in between as a quarantined gap with offset, length and reason.
+member or version line that passes, goes on from there, and reports the bytes
+in between as a quarantined gap with offset, length and reason.  Its time is
+linear in an archive's bytes, apart from members that inflate far before they
+fail; a gap's candidates are each tried once.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import zlib
@@ -24,8 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitquarry.llm.tables import checked, cut
+
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _HEADER_END = re.compile(rb"\r?\n\r?\n")
 _ID = "urn:page:"
 
@@ -112,48 +117,106 @@ def read_stream(data: bytes, base: int = 0) -> Iterator[tuple]:
         at = end
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at a position; ValueError if it fails a check."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not z.eof:
-        raise ValueError("gzip: member cut short")
-    return out, len(data) - len(z.unused_data)
+class Damaged(ValueError):
+    """A failed gzip member; content is what it gave before the damage."""
 
+    def __init__(self, reason: str, content: bytes = b""):
+        super().__init__(reason)
+        self.content = content
 
-def read_archive(data: bytes) -> Iterator[tuple]:
-    """Records and gaps of an archive, with gzip members or without.
 
-    Offsets and lengths are in the archive as stored; of records that share a
-    member, all have that member's place.
+def inflate(data: bytes, at: int, chunk: int = 1 << 16, most: int = 1 << 31) -> tuple[bytes, int]:
+    """(content, end) of the gzip member at a position; Damaged if it fails a check or has over ``most`` bytes.
+
+    It is fed chunk by chunk, so what follows the member is never copied; a
+    damaged chunk is fed again in small pieces for what it holds before the damage.
+    """
+    z, view = zlib.decompressobj(31), memoryview(data)
+    out, size = [], 0
+    while not z.eof:
+        if at >= len(data):
+            raise Damaged("gzip: member cut short", b"".join(out))
+        part = view[at : at + chunk]
+        before = z.copy()
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as e:
+            for step in (256, 1):
+                with contextlib.suppress(zlib.error):
+                    while part:
+                        again = before.copy()
+                        out.append(before.decompress(part[:step]))
+                        part = part[step:]
+                before = again
+            raise Damaged(f"gzip: {e}", b"".join(out)) from None
+        at += len(part)
+        size += len(out[-1])
+        if size > most:
+            raise Damaged("gzip: member too large", b"".join(out))
+    return b"".join(out), at - len(z.unused_data)
+
+
+def _proved(headers: dict[str, str]) -> bool:
+    """Whether the record's digests, which parse_record has compared, cover its block."""
+    return headers.get("warc-block-digest", "").startswith("sha256:") or headers.get("warc-payload-digest", "").startswith("sha256:") and headers.get("warc-type") != "revisit"
+
+
+def _starts(data: bytes, at: int) -> Iterator[int]:
+    """Places from a position on where a member or a version line may begin, in order; each kind is searched once."""
+    magic, version = data.find(_MAGIC, at), _VERSION.search(data, at)
+    while magic >= 0 or version:
+        if magic >= 0 and (not version or magic < version.start()):
+            yield magic
+            magic = data.find(_MAGIC, magic + 1)
+        else:
+            yield version.start()
+            version = _VERSION.search(data, version.start() + 1)
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[tuple], int]:
+    """(records and inner gaps, end) of the member or plain record at a position; Damaged or ValueError if it fails."""
+    if data[at : at + 3] != _MAGIC:
+        headers, payload, end = parse_record(data, at)
+        return [(headers, payload)], end
+    content, end = inflate(data, at)
+    return [(headers, payload) for _, _, headers, payload in read_stream(content)], end
+
+
+def read_archive(data: bytes) -> Iterator[tuple]:
+    """Records and gaps of an archive of gzip members, plain records or both.
+
+    Yields (offset, length, headers, payload), or (offset, length, None, reason)
+    for a gap.  Offsets and lengths are in the archive as stored; of records that
+    share a member, all have that member's place.  After a failed check the
+    nearest later member or version line that passes is taken.  Records that a
+    damaged member gave before its damage are kept if their digests prove them;
+    they have the place of the gap that follows.
     """
-    if not data.startswith(_MAGIC) and (plain := _VERSION.search(data)) and (data.find(_MAGIC) < 0 or plain.start() < data.find(_MAGIC)):
-        yield from read_stream(data)
-        return
     at = 0
     while at < len(data):
         try:
-            if data[at : at + 3] != _MAGIC:
-                raise ValueError("no gzip member")
-            content, end = inflate(data, at)
+            found, end = _read_at(data, at)
         except ValueError as e:
-            begin, reason = at, str(e)
-            while True:
-                at = data.find(_MAGIC, at + 1)
-                if at < 0:
-                    at = len(data)
-                    break
+            saved = e.content if isinstance(e, Damaged) else b""
+            begin, reason, at, found = at, str(e), len(data), []
+            kept = [(headers, payload) for _, _, headers, payload in read_stream(saved) if headers is not None and _proved(headers)]
+            for start in _starts(data, begin + 1):
                 try:
-                    inflate(data, at)
-                    break
+                    found, end = _read_at(data, start)
                 except ValueError:
                     continue
+                # A member that stores its bytes as they are shows the same records again.
+                if found and found[0] in kept:
+                    found = []
+                    continue
+                at = start
+                break
+            for headers, payload in kept:
+                yield begin, at - begin, headers, payload
             yield begin, at - begin, None, reason
-            continue
-        for _, _, headers, payload in read_stream(content):
+            if at == len(data):
+                return
+        for headers, payload in found:
             yield at, end - at, headers, payload
         at = end
 
@@ -161,12 +224,18 @@ def read_archive(data: bytes) -> Iterator[tuple]:
 def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """(page_id, url, payload, digest, refers_to) of each page.
 
-    Digests are grouped with partial aggregation; only groups of two or more
-    are joined back, and a hot group's rows are split by the skew join.
+    Null payloads are empty; those under ``least_bytes`` never refer.  Rows that
+    repeat the smallest id of their payload are all responses; a null id is the
+    smallest only where the payload has no other, and then all are responses.
+    An empty table gives no rows; other columns play no part.
+
+    Digests are grouped with partial aggregation.  Those of two or more pages are
+    written and joined back: broadcast if they are few (``checked``), else by a
+    shuffle in which Spark splits a hot digest's rows.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = p.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "first_id")
-    return p.join(shared.hint("shuffle_hash"), p.digest == shared.shared, "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    shared = cut(p.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "first_id"))
+    return p.join(checked(shared), p.digest == shared.shared, "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
 def write_archives(planned: DataFrame, segment_bytes: int = 2_000_000, level: int = 3) -> DataFrame:
@@ -199,7 +268,7 @@ def write_archives(planned: DataFrame, segment_bytes: int = 2_000_000, level: in
 _READ = "segment string, offset long, length long, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, gap_reason string"
 
 
-def read_archives(archives: DataFrame, name_col: str = "segment", content_col: str = "content", with_payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, name_col: str = "segment", content_col: str = "content", with_payload: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
     """A row for each record, and one for each quarantined gap (record_type null, gap_reason says why).
 
     payload_bytes and payload_digest are of the payload as read; a revisit has
@@ -224,7 +293,14 @@ def read_archives(archives: DataFrame, name_col: str = "segment", content_col: s
         for batch in batches:
             for k in range(batch.num_rows):
                 name, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                if rows := [of(name, x) for x in read_archive(content or b"")]:
+                rows, size = [], 0
+                for x in read_archive(content or b""):
+                    rows.append(of(name, x))
+                    size += len(rows[-1][9] or b"") + 200
+                    if size >= batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+                        rows, size = [], 0
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
 
     return archives.select(F.col(name_col).alias("segment"), F.col(content_col).alias("content")).mapInArrow(run, _READ)
