@@ -1,9 +1,11 @@
 """Binary media columns: PNG coding on zlib and numpy, and cosine-transform hashes.
 
-The writer makes 8-bit greyscale PNG; the reader walks the chunks, tests each
-checksum, inflates the image data and undoes all five row filters with numpy.
-The hash is of the lowest frequencies of a two-dimensional cosine transform of
-the image reduced to 32 x 32, so it hardly changes under small edits.
+The writer makes 8-bit greyscale PNG and picks each row's filter by the least sum
+of absolute values; the reader walks the chunks, tests each checksum, inflates
+the image data and undoes the row filters with numpy, over the rows of many
+images at a time.  The hash is of the lowest frequencies of a two-dimensional
+cosine transform of the image reduced to 32 x 32, so it hardly changes under
+small edits.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitquarry.llm.tables import slices
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SIDE, _LOW = 32, 8
 _COSINE = np.cos(np.pi * np.outer(np.arange(_LOW), 2 * np.arange(_SIDE) + 1) / (2 * _SIDE))
@@ -27,60 +31,117 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def filter_rows(image: np.ndarray, kinds: np.ndarray) -> bytes:
-    """Each row after its filter's number (0 none, 1 left, 2 above, 3 mean, 4 Paeth)."""
-    x = image.astype(np.int16)
-    up = np.vstack([np.zeros_like(x[:1]), x[:-1]])
-    left, corner = (np.hstack([np.zeros_like(y[:, :1]), y[:, :-1]]) for y in (x, up))
-    p = left + up - corner
-    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-    paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-    guess = np.select([(kinds == k)[:, None] for k in (1, 2, 3, 4)], [left, up, (left + up) >> 1, paeth], 0)
-    return np.hstack([kinds[:, None].astype(np.uint8), ((x - guess) & 255).astype(np.uint8)]).tobytes()
+def filtered(rows: np.ndarray, first: np.ndarray, kinds: np.ndarray | None = None, block: int = 1024) -> np.ndarray:
+    """Each row after its filter's number: 0 none, 1 left, 2 above, 3 mean, 4 Paeth.
+
+    first says which rows begin an image.  Without kinds each row has the filter
+    whose bytes, as signed numbers, have the least sum of absolute values (the
+    smaller number on a tie).
+    """
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    for at in range(0, len(rows), block):
+        x = rows[at : at + block].astype(np.int16)
+        up = np.vstack([rows[at - 1 : at] if at else rows[:1], rows[at : at + block - 1] if at + block <= len(rows) else rows[at:-1]]).astype(np.int16)[: len(x)]
+        up[first[at : at + block]] = 0
+        left, corner = (np.hstack([np.zeros_like(y[:, :1]), y[:, :-1]]) for y in (x, up))
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        each = [((x - guess) & 255).astype(np.uint8) for guess in (np.zeros_like(x), left, up, (left + up) >> 1, paeth)]
+        if kinds is None:
+            own = np.argmin([np.abs(y.view(np.int8).astype(np.int16)).sum(1) for y in each], axis=0)
+        else:
+            own = kinds[at : at + block]
+        out[at : at + block, 0] = own
+        for k, y in enumerate(each):
+            out[at : at + block, 1:][own == k] = y[own == k]
+    return out
 
 
-def unfilter(rows: np.ndarray) -> np.ndarray:
-    """The image of filtered rows (filter number first)."""
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if kinds.size and kinds.max() > 4:
+def _row_undone(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """One row without its mean or Paeth filter."""
+    out, left, corner = [], 0, 0
+    if kind == 3:
+        for x, up in zip(row.tolist(), above.tolist()):
+            left = x + (left + up >> 1) & 255
+            out.append(left)
+    else:
+        for x, up in zip(row.tolist(), above.tolist()):
+            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            left = x + (left if a <= b and a <= c else up if b <= c else corner) & 255
+            corner = up
+            out.append(left)
+    return np.array(out, np.uint8)
+
+
+def _rows_undone(kind: int, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of different images without their mean or Paeth filter, a column at a time."""
+    x, up = rows.T.astype(np.int16), above.T.astype(np.int16)
+    out = np.empty_like(x)
+    left = corner = np.zeros(x.shape[1], np.int16)
+    for j in range(len(x)):
+        if kind == 3:
+            guess = (left + up[j]) >> 1
+        else:
+            a, b, c = np.abs(up[j] - corner), np.abs(left - corner), np.abs(left + up[j] - 2 * corner)
+            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[j], corner))
+            corner = up[j]
+        out[j] = left = (x[j] + guess) & 255
+    return out.T.astype(np.uint8)
+
+
+def unfilter(images: list[np.ndarray], together: int = 8) -> list[np.ndarray]:
+    """Images of rows of one width, each row after its filter's number.  The k-th rows of all images are undone together."""
+    if any(i.size and i[:, 0].max() > 4 for i in images):
         raise ValueError("unknown row filter")
-    if not kinds.any():
-        return out
-    sums = kinds == 1
-    out[sums] = np.cumsum(out[sums], axis=1, dtype=np.uint8)
-    above = np.zeros(out.shape[1], np.uint8)
-    for k, row in enumerate(out):
-        if kinds[k] == 2:
-            row += above
-        elif kinds[k] > 2:
-            left = corner = 0
-            for j, up in enumerate(above.tolist()):
-                if kinds[k] == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = left if a <= b and a <= c else up if b <= c else corner
-                row[j] = left = (int(row[j]) + guess) & 255
-                corner = up
-        above = row
+    out = [i[:, 1:].copy() for i in images]
+    order = sorted(range(len(images)), key=lambda n: -len(images[n]))
+    for k in range(max(map(len, images), default=0)):
+        while order and len(images[order[-1]]) <= k:
+            order.pop()
+        kinds = np.array([images[n][k, 0] for n in order])
+        for kind in np.unique(kinds).tolist():
+            own = [n for n, x in zip(order, kinds.tolist()) if x == kind]
+            above = [out[n][k - 1] if k else np.zeros_like(out[n][k]) for n in own]
+            if kind == 1:
+                for n in own:
+                    out[n][k] = np.cumsum(out[n][k], dtype=np.uint8)
+            elif kind == 2:
+                for n, up in zip(own, above):
+                    out[n][k] += up
+            elif kind and len(own) < together:
+                for n, up in zip(own, above):
+                    out[n][k] = _row_undone(kind, out[n][k], up)
+            elif kind:
+                for n, row in zip(own, _rows_undone(kind, np.stack([out[n][k] for n in own]), np.stack(above))):
+                    out[n][k] = row
     return out
 
 
-def encode_png(samples: bytes, width: int, level: int = 1, kind: int = 0, chunk_bytes: int = 1 << 16) -> bytes:
-    """A greyscale PNG of the samples, row by row, all rows with one filter."""
-    image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    if kind:
-        raw = filter_rows(image, np.full(len(image), kind))
-    else:
-        raw = np.hstack([np.zeros((len(image), 1), np.uint8), image]).tobytes()
-    packed = zlib.compress(raw, level)
-    head = _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0))
-    return SIGNATURE + head + b"".join(_chunk(b"IDAT", packed[k : k + chunk_bytes]) for k in range(0, len(packed), chunk_bytes)) + _chunk(b"IEND", b"")
+def encode_many(samples: list[bytes], width: int, level: int = 1, kind: int | None = None, chunk_bytes: int = 1 << 16) -> list[bytes]:
+    """Greyscale PNGs of samples, row by row, with a filter for all rows or (None) the best for each."""
+    images = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in samples]
+    if not images:
+        return []
+    sizes = np.array([len(i) for i in images])
+    ends = np.cumsum(sizes)
+    first = np.zeros(ends[-1], bool)
+    first[(ends - sizes)[sizes > 0]] = True
+    rows = filtered(np.concatenate(images), first, None if kind is None else np.full(ends[-1], kind))
+    out = []
+    for end, n in zip(ends.tolist(), sizes.tolist()):
+        packed = zlib.compress(rows[end - n : end].tobytes(), level)
+        head = _chunk(b"IHDR", struct.pack(">IIBBBBB", width, n, 8, 0, 0, 0, 0))
+        out.append(SIGNATURE + head + b"".join(_chunk(b"IDAT", packed[k : k + chunk_bytes]) for k in range(0, len(packed), chunk_bytes)) + _chunk(b"IEND", b""))
+    return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """The image of an 8-bit greyscale PNG; ValueError names the check that failed."""
+def encode_png(samples: bytes, width: int, level: int = 1, kind: int | None = None, chunk_bytes: int = 1 << 16) -> bytes:
+    """A greyscale PNG of the samples."""
+    return encode_many([samples], width, level, kind, chunk_bytes)[0]
+
+
+def inflated(data: bytes) -> np.ndarray:
+    """The filtered rows of an 8-bit greyscale PNG; ValueError names the check that failed."""
     if data[:8] != SIGNATURE:
         raise ValueError("no signature")
     at, head, parts, ended = 8, None, [], False
@@ -105,7 +166,31 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError(str(e)) from None
     if len(raw) != head[1] * (head[0] + 1):
         raise ValueError("size of the image data")
-    return unfilter(np.frombuffer(raw, np.uint8).reshape(head[1], head[0] + 1))
+    rows = np.frombuffer(raw, np.uint8).reshape(head[1], head[0] + 1)
+    if rows.size and rows[:, 0].max() > 4:
+        raise ValueError("unknown row filter")
+    return rows
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """The image of an 8-bit greyscale PNG; ValueError names the check that failed."""
+    return unfilter([inflated(data)])[0]
+
+
+def decode_many(datas: list[bytes | None]) -> list[np.ndarray | str]:
+    """The image of each PNG, or which check failed; those of one width are undone together."""
+    out: list[np.ndarray | str] = []
+    by_width: dict[int, list[int]] = {}
+    for data in datas:
+        try:
+            out.append(inflated(data or b""))
+            by_width.setdefault(out[-1].shape[1], []).append(len(out) - 1)
+        except ValueError as e:
+            out.append(str(e))
+    for own in by_width.values():
+        for n, image in zip(own, unfilter([out[n] for n in own])):
+            out[n] = image
+    return out
 
 
 def _reduced(x: np.ndarray, n: int) -> np.ndarray:
@@ -129,30 +214,33 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
-def _map(df: DataFrame, ddl: str, types: list[pa.DataType], row) -> DataFrame:
+def _map(df: DataFrame, ddl: str, types: list[pa.DataType], rows) -> DataFrame:
+    """df through a function from columns (lists) to rows, on slices of bounded rows and bytes of the last column."""
     schema = pa.schema(list(zip((x.split()[0] for x in ddl.split(", ")), types)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = [row(*x) for x in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+            for part in slices(batch):
+                done = rows(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 576, level: int = 1, kind: int = 0) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 576, level: int = 1, kind: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 as a PNG of rows of width samples, padded by 255.
 
     Null texts are empty; an empty text is one row of padding.  Texts are kept
-    whole; repeated rows are each encoded, to equal bytes.
+    whole; null and repeated ids and repeated rows are each encoded, equal texts
+    to equal bytes.  An empty table gives no rows; other columns play no part.
     """
 
-    def row(doc, text):
-        data = (text or "").encode()
-        return doc, len(data), encode_png(data + b"\xff" * (-len(data) % width if data else width), width, level, kind)
+    def rows(docs, texts):
+        data = [(t or "").encode() for t in texts]
+        media = encode_many([x + b"\xff" * (-len(x) % width if x else width) for x in data], width, level, kind)
+        return list(zip(docs, map(len, data), media))
 
-    return _map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, n_bytes long, media binary", [pa.int64(), pa.int64(), pa.binary()], row)
+    return _map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, n_bytes long, media binary", [pa.int64(), pa.int64(), pa.binary()], rows)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -163,14 +251,16 @@ def features(media: DataFrame) -> DataFrame:
     """
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
-    def row(doc, n, data):
-        sha = hashlib.sha256(data or b"").hexdigest()
-        try:
-            image = decode_png(data or b"")
-        except ValueError as e:
-            return doc, n, None, None, None, len(data or b""), sha, None, str(e)
-        payload = image.tobytes()
-        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), sha, cosine_hash(image), None
+    def rows(docs, sizes, datas):
+        out = []
+        for doc, n, data, image in zip(docs, sizes, datas, decode_many(datas)):
+            sha = hashlib.sha256(data or b"").hexdigest()
+            if isinstance(image, str):
+                out.append((doc, n, None, None, None, len(data or b""), sha, None, image))
+                continue
+            payload = image.tobytes()
+            out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), sha, cosine_hash(image), None))
+        return out
 
     i, s = pa.int64(), pa.string()
-    return _map(media.select("doc_id", "n_bytes", "media"), ddl, [i, i, i, s, i, i, s, s, s], row)
+    return _map(media.select("doc_id", "n_bytes", "media"), ddl, [i, i, i, s, i, i, s, s, s], rows)

@@ -51,8 +51,8 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a PNG column, decoded again, with its cosine-transform hash."""
-    return media.features(media.encode(read(spark, sf_dir, "documents"))).drop("error")
+    """Every text as a PNG column, stored, read back and decoded, with its cosine-transform hash."""
+    return media.features(cut(media.encode(read(spark, sf_dir, "documents")), "none")).drop("error")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Tables shared by the operators: reading inputs, cutting lineage, checked broadcasts."""
+"""Tables shared by the operators: reading inputs, cutting lineage, slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a narrow table that may be broadcast.
-MOST_BROADCAST = 50_000
+from bitquarry.sources.stored import checked, shared_dir
+from bitquarry.sources.stored import stored as cut
+
+__all__ = ["checked", "cut", "read", "shared_dir", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,36 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share.
-
-    Only in one process (a local master, as in tests) may that setting be absent:
-    a local temporary folder is set as the checkpoint folder then.  Elsewhere
-    each executor would write to its own disk, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bitquarry-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/bitquarry-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written once as Parquet in the shared folder and read again.
-
-    Later stages start from these files, so a lost executor costs the re-read of
-    its splits, not a recomputation; the reader gets the exact schema.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table of few columns, to be broadcast if it has at most ``most`` rows; else Spark shuffles it.
-
-    The rows are counted from the files' footers.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def slices(batch: pa.RecordBatch, most_rows: int = 1024, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes of its last column (text or binary); a row that is larger is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
