@@ -61,6 +61,11 @@ def _set_aside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def without_markup(page: str) -> str:
+    """All text of a page, scripts and styles left out, character references decoded."""
+    return html.unescape(_TOKEN.sub(" ", page))
+
+
 class Line(NamedTuple):
     """text; whether it is set aside, in an article, a heading; the size (without links)."""
 
