@@ -26,24 +26,23 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (u > v) are stars: each u once, and no v is a u."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 or ups = 1 and downs = 1").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of a link table (a long, b long); root is the smallest node reachable.
 
     Links to the node itself and null ends are ignored; an empty table gives no
-    rows.  Each round is written to the shared folder.  It ends when a round
-    changes nothing, after a number of rounds that grows with the logarithm of
-    the longest path.
+    rows.  Each round is written to the shared folder.  It ends when all links
+    are stars, after a number of rounds that grows with the logarithm of the
+    longest path.
     """
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(now)
     for _ in range(most_rounds):
-        if not seen[0]:
-            break
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         now = cut(_stars(_stars(now, True), False))
-        before, seen = seen, mark(now)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError("the components did not settle")
