@@ -150,16 +150,15 @@ def optional_nation_bits(spark, sf_dir):
 
 
 def _numbers(spark, sf_dir) -> DataFrame:
-    t = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("short"))).alias("numbers"))
-    return t.withColumn("numbers", F.slice("numbers", 1, 15))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("short"))).alias("numbers"))
 
 
 @query(
-    """SELECT l_orderkey, n, total, 4 + 4 * n AS bits FROM (SELECT l_orderkey, len(v)::INTEGER AS n, list_sum(v)::BIGINT AS total
-    FROM (SELECT l_orderkey, list_sort(list(l_linenumber))[1:15] AS v FROM lineitem GROUP BY 1))"""
+    """SELECT l_orderkey, n, total, 5 + 4 * n AS bits FROM (SELECT l_orderkey, len(v)::INTEGER AS n, list_sum(v)::BIGINT AS total
+    FROM (SELECT l_orderkey, list_sort(list(l_linenumber)) AS v FROM lineitem GROUP BY 1))"""
 )
 def array_prefixed_linenumbers(spark, sf_dir):
-    node = N.buffer(4, 15, encoding="prefixed")
+    node = N.buffer(4, 30, encoding="prefixed")
     t = packed.encode(_numbers(spark, sf_dir), F.col("numbers"), node)
     t = packed.decode(t.withColumn("payload", F.col("encoded.payload")), "payload", node)
     v = F.col("decoded.value")
@@ -167,16 +166,17 @@ def array_prefixed_linenumbers(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, array_to_string(v, ',') AS numbers, rpad(replace(list_reduce(list_transform(v, lambda x: '1' || lpad(to_base(x, 2), 4, '0')), lambda a, b: a || b), ' ', '') || CASE WHEN len(v) < 3 THEN '0' ELSE '' END, 16, '0') AS digits
-    FROM (SELECT l_orderkey, list_sort(list(l_linenumber))[1:3] AS v FROM lineitem GROUP BY 1)"""
+    """SELECT l_orderkey, numbers, array_to_string(list_transform(range(1, length(d), 4), lambda i: substr('0123456789ABCDEF', 1 + 8 * substr(d, i, 1)::INTEGER + 4 * substr(d, i + 1, 1)::INTEGER + 2 * substr(d, i + 2, 1)::INTEGER + substr(d, i + 3, 1)::INTEGER, 1)), '') AS payload_hex
+    FROM (SELECT l_orderkey, numbers, rpad(d, 8 * ((length(d) + 7) // 8)::INTEGER, '0') AS d FROM
+    (SELECT l_orderkey, array_to_string(v, ',') AS numbers, array_to_string(list_transform(v, lambda x: '1' || lpad(to_base(x, 2), 4, '0')), '') || CASE WHEN len(v) < 30 THEN '0' ELSE '' END AS d
+    FROM (SELECT l_orderkey, list_sort(list(l_linenumber)) AS v FROM lineitem GROUP BY 1)))"""
 )
 def array_delimited_small(spark, sf_dir):
-    node = N.buffer(4, 3)
-    t = packed.encode(_numbers(spark, sf_dir), F.slice("numbers", 1, 3), node)
+    """Whole lists of up to 30, each element after a one, a zero at the end of shorter ones."""
+    node = N.buffer(4, 30, encoding="delimited")
+    t = packed.encode(_numbers(spark, sf_dir), F.col("numbers"), node)
     t = packed.decode(t.withColumn("payload", F.col("encoded.payload")), "payload", node)
-    whole = F.rpad(native.digits(F.conv(F.hex(F.col("payload")), 16, 10).cast("long"), 64), 64, "0")
-    size = F.octet_length("payload") * 8
-    return t.select("l_orderkey", F.array_join(F.transform(F.col("decoded.value"), lambda x: x.cast("string")), ",").alias("numbers"), F.rpad(F.right(whole, size), 16, "0").alias("digits"))
+    return t.select("l_orderkey", F.array_join(F.transform(F.col("decoded.value"), lambda x: x.cast("string")), ",").alias("numbers"), F.hex("payload").alias("payload_hex"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
