@@ -13,14 +13,15 @@ little: they are linked through the 65 values within one bit of each, since two
 fingerprints are within two bits if and only if they share such a value, and no
 value has over 65 of them.
 
-Similar form (``similar_groups``): sets of word shingles of width five and a
-Jaccard similarity of at least 0.8.  Candidates are exact: with shingles in one
-order, rare ones first, two similar sets share one of their first fifth (a
-prefix).  Sizes, places and numbers of shared prefix shingles thin them without
-a loss, in large groups also pivot tables and Hamming distances of parity
-fingerprints, which never exceed the sets' own; the sets themselves decide.
-Majority fingerprints can't do this: at a similarity of 0.8 they differ in any
-number of bits.
+Similar form (``similar_groups``): all links of the exact form, and those between
+sets of word shingles of width five with a Jaccard similarity of at least 0.8.
+The first come first, as above.  They miss pairs (at a similarity of 0.8
+fingerprints differ in any number of bits), hence the second.  Their candidates
+are exact: with shingles in one order, rare ones first, two similar sets share
+one of their first fifth (a prefix).  Sizes, places and numbers of shared prefix
+shingles thin them without a loss, in large groups also pivot tables and Hamming
+distances of parity fingerprints, which never exceed the sets' own; the sets
+themselves decide.  Pairs that fingerprints already connect are not compared.
 """
 
 from __future__ import annotations
@@ -162,6 +163,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 #: Counters of the shingles' frequencies.  They only order shingles; a shared counter costs time, not pairs.
 _CELLS = 1 << 21
 _SURE = 1e-6
+#: Width of the shingles of majority fingerprints, as in ``groups``.
+_FP_WIDTH = 3
 #: Bits of a parity fingerprint.
 _PARITY = 512
 
@@ -246,28 +249,41 @@ def parity_pivots(a: Column) -> Column:
 
 
 def _signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(id, c0, c1, n, prefix, parity): the shingle set's 128-bit hash and size, its rarest shingles, its parity fingerprint.
+    """(id, c0, c1, n, prefix, parity, fp): the shingle set's 128-bit hash and size, its rarest shingles, its parity and majority fingerprints.
 
     Of sets of n and at least similarity * n shared shingles, in one order of
     all shingles, the first n - ceil(similarity * n) + 1 have one in common.
     """
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, width))
-    schema = pa.schema([("id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("fp", pa.int64())])
 
-    def one(s: np.ndarray) -> tuple:
+    def one(words: list[bytes]) -> tuple:
+        s = np.unique(shingle_hashes(words, width).astype(np.uint64))
         content = xxhash.xxh3_128_digest(s.tobytes())
         order = np.lexsort((s, frequency.value[(s % np.uint64(_CELLS)).astype(np.int64)]))
         first = len(s) - math.ceil(similarity * len(s) - _SURE) + 1 if len(s) else 0
-        return _signed(content[:8]), _signed(content[8:]), len(s), s[order[:first]].view(np.int64), parity(s)
+        return _signed(content[:8]), _signed(content[8:]), len(s), s[order[:first]].view(np.int64), parity(s), _signed(majority(shingle_hashes(words, _FP_WIDTH)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = zip(*map(one, _sets(part, width)))
+                columns = zip(*(one(word_list(t.as_py())) for t in part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(map(list, columns), list(schema)[1:]))], schema=schema)
 
-    return docs.mapInArrow(run, "id long, c0 long, c1 long, n int, prefix array<long>, parity array<long>")
+    return docs.mapInArrow(run, "id long, c0 long, c1 long, n int, prefix array<long>, parity array<long>, fp long")
+
+
+def _fingerprint_roots(signed: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
+    """(node, root) of the nodes that ``links`` of majority fingerprints connect; root is the smallest node.
+
+    A node has several fingerprints if its texts repeat shingles differently.
+    """
+    owned = cut(signed.select("c0", "c1", "fp").distinct().join(nodes.select("c0", "c1", "node"), ["c0", "c1"]).select("node", "fp").distinct())
+    found = cut(components(links(cut(owned.select("fp").distinct()), cap))).select(F.col("node").alias("was"), F.col("root").alias("is"))
+    tied = cut(owned.join(checked(found), owned["fp"] == found["was"], "left").select(F.col("node").alias("a"), F.coalesce("is", "fp").alias("class")))
+    heads = cut(tied.groupBy("class").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("class", "b"))
+    return cut(components(tied.join(checked(heads), "class").select("a", "b")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, spread: int = 1024) -> DataFrame:
@@ -377,14 +393,15 @@ def _all_pairs(roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     return some.unionByName(many.select(*some.columns))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most_rounds: int = 6) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most_rounds: int = 6, cap: int = 32) -> DataFrame:
     """(id, group_id) of each id that has a copy or a near copy with a smaller or larger id.
 
     group_id is the smallest id of the group, that id's own row included.  Rows
     of equal shingle sets are one node; texts without words are one node too.
-    All pairs of nodes that share a shingle of their prefixes and may be similar
-    are compared, except pairs that earlier links already connect.  First each
-    node meets the smallest node of each of its shingles; then, as long as that
+    First come the links of majority fingerprints within two bits, found as in
+    ``groups``.  Then all pairs of nodes that share a shingle of their prefixes
+    and may be similar are compared, except pairs that earlier links already
+    connect: each node meets the smallest node of each of its shingles; then, as long as that
     links much of what large groups still have apart, the nodes of these meet a
     few picked ones; at last all pairs that are left are made.  Null ids take no
     part; rows that share an id are one document.  An empty table gives no rows.
@@ -392,7 +409,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = cut(_signatures(d, width, similarity))
     nodes = cut(signed.groupBy("c0", "c1").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("parity").alias("parity")))
-    roots = cut(_met(nodes)).withColumn("root", F.col("node"))
+    first = _fingerprint_roots(signed, nodes, cap)
+    at, met = first.select(F.col("node").alias("was"), F.col("root").alias("is")), _met(nodes)
+    roots = cut(met.join(checked(at), met["node"] == at["was"], "left").select(*met.columns, F.coalesce("is", "node").alias("root")))
 
     def linked(roots: DataFrame, pairs: DataFrame) -> DataFrame:
         """roots after the links of those pairs that are similar."""
@@ -400,7 +419,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = cut(components(links)).select(F.col("node").alias("was"), F.col("root").alias("is"))
         return cut(roots.join(checked(found), roots["root"] == found["was"], "left").select("token", "node", "n", "at", "rest", "least", F.coalesce("is", "root").alias("root")))
 
-    roots = linked(roots, _side(roots, "a").join(_side(roots.where("node = least"), "b"), "token").where("a > b"))
+    roots = linked(roots, _side(roots, "a").join(_side(roots.where("node = least"), "b"), "token").where("a > b and ra <> rb"))
     left = _crowd(roots)
     for salt in range(most_rounds):
         if left <= _CROWD:
@@ -410,9 +429,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left > before / 2:
             break
     roots = linked(roots, _all_pairs(roots, nodes, similarity))
-    named = roots.where("root <> node").select(F.col("node").alias("own"), "root").distinct()
-    heads = named.select("root").distinct().select(F.col("root").alias("own"), "root")
-    tied = nodes.select("c0", "c1", "node", "copies").join(named.union(heads), F.col("node") == F.col("own"), "left")
+    # Nodes that only fingerprints link need not have a row in roots.
+    named = components(first.union(roots.select("node", "root")).toDF("a", "b")).select(F.col("node").alias("own"), "root")
+    tied = nodes.select("c0", "c1", "node", "copies").join(named, F.col("node") == F.col("own"), "left")
     tied = tied.where("copies > 1 or root is not null").select("c0", "c1", F.coalesce("root", "node").alias("group_id"))
     return signed.select("id", "c0", "c1").join(tied, ["c0", "c1"]).select("id", "group_id")
 

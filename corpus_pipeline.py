@@ -48,6 +48,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of copies and near copies.
 
+    Near copies are what op5_simhash links (fingerprints within two bits, found
+    by pivot tables) and texts whose sets of shingles have a Jaccard similarity
+    of 0.8; groups follow links of both kinds.
+
     All null, empty and blank texts are copies of each other.  Rows that share an
     id stay or go together; rows with a null id stay.  An empty table stays empty.
     """
