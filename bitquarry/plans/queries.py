@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitquarry.functions import columns as C
@@ -179,14 +179,23 @@ def array_delimited_small(spark, sf_dir):
     return t.select("l_orderkey", F.array_join(F.transform(F.col("decoded.value"), lambda x: x.cast("string")), ",").alias("numbers"), F.hex("payload").alias("payload_hex"))
 
 
+def user_low(user: Column) -> Column:
+    """What an event's message has of a user's number."""
+    return user.cast("long").bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def whole_user(block: Column, low: Column) -> Column:
+    return F.shiftleft(block, 16) + low
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as packed variants."""
+    """events as packed variants; a message has 16 bits of its user's number, the column block has those above."""
     t = read(spark, sf_dir, "events")
-    user, cents = F.col("user_id").cast("int"), F.round(F.col("value") * 100).cast("int")
+    user, cents = user_low(F.col("user_id")), F.round(F.col("value") * 100).cast("int")
     is_ = lambda k: F.col("event_type") == k
     pair = F.struct(user.alias("user"), cents.alias("cents"))
     value = F.struct(F.col("event_type").alias("tag"), F.when(is_("click"), pair).alias("click"), F.when(is_("view"), user).alias("view"), F.when(is_("purchase"), pair).alias("purchase"), F.when(is_("error"), F.col("value") > 10).alias("error"), F.when(is_("signup"), user).alias("signup"))
-    return packed.encode(t, value, EVENT).select("event_id", F.col("encoded.payload").alias("payload"), F.col("encoded.bit_len").alias("bit_len"))
+    return packed.encode(t, value, EVENT).select("event_id", F.shiftright(F.col("user_id").cast("long"), 16).alias("block"), F.col("encoded.payload").alias("payload"), F.col("encoded.bit_len").alias("bit_len"))
 
 
 @query(
@@ -199,7 +208,7 @@ def variant_event_payload(spark, sf_dir):
     v = F.col("decoded.value")
     cents = F.coalesce(C.get_arm(v, "click")["cents"], C.get_arm(v, "purchase")["cents"])
     users = F.coalesce(C.get_arm(v, "click")["user"], C.get_arm(v, "purchase")["user"], v["view"], v["signup"])
-    return t.groupBy(v["tag"].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"), F.sum(users).alias("users"), F.count_if(F.coalesce(v["error"], F.lit(False))).alias("high_errors"), F.sum("bit_len").alias("bits"))
+    return t.groupBy(v["tag"].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"), F.sum(whole_user(F.col("block"), users)).alias("users"), F.count_if(F.coalesce(v["error"], F.lit(False))).alias("high_errors"), F.sum("bit_len").alias("bits"))
 
 
 @query(f"SELECT o_orderkey, ({_K.replace('l_orderkey', 'o_orderkey')} + 3 + CASE WHEN o_totalprice >= 100000 THEN 41 ELSE 1 END)::BIGINT AS bits FROM orders")
