@@ -188,14 +188,14 @@ def whole_user(block: Column, low: Column) -> Column:
     return F.shiftleft(block, 16) + low
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as packed variants; a message has 16 bits of its user's number, the column block has those above."""
+def events(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    """events as packed variants; a message has 16 bits of its user's number, the column block has those above.  Columns beside are kept."""
     t = read(spark, sf_dir, "events")
     user, cents = user_low(F.col("user_id")), F.round(F.col("value") * 100).cast("int")
     is_ = lambda k: F.col("event_type") == k
     pair = F.struct(user.alias("user"), cents.alias("cents"))
     value = F.struct(F.col("event_type").alias("tag"), F.when(is_("click"), pair).alias("click"), F.when(is_("view"), user).alias("view"), F.when(is_("purchase"), pair).alias("purchase"), F.when(is_("error"), F.col("value") > 10).alias("error"), F.when(is_("signup"), user).alias("signup"))
-    return packed.encode(t, value, EVENT).select("event_id", F.shiftright(F.col("user_id").cast("long"), 16).alias("block"), F.col("encoded.payload").alias("payload"), F.col("encoded.bit_len").alias("bit_len"))
+    return packed.encode(t, value, EVENT).select("event_id", *beside, F.shiftright(F.col("user_id").cast("long"), 16).alias("block"), F.col("encoded.payload").alias("payload"), F.col("encoded.bit_len").alias("bit_len"))
 
 
 @query(

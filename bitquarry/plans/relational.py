@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitquarry.functions import columns as C
 from bitquarry.operators import joins, packed
-from bitquarry.plans.queries import _K, EVENT, ORDER, READING, decoded_lines, decoded_orders, events, orders, query, read, reading_stream
+from bitquarry.plans.queries import _K, EVENT, ORDER, READING, decoded_lines, decoded_orders, events, orders, query, read, reading_stream, user_low, whole_user
 from bitquarry.schema import nodes as N
 from bitquarry.streaming import windows
 
@@ -171,12 +171,13 @@ def primitive_variant_arms(spark, sf_dir):
 @query("SELECT event_type = 'error' AS was_error, CASE WHEN event_type = 'error' THEN 'view' ELSE event_type END AS tag, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN user_id END)::BIGINT AS users FROM events GROUP BY ALL")
 def variant_set_and_make(spark, sf_dir):
     """Errors turned into views of the same user, by setting another arm."""
-    t = packed.decode(events(spark, sf_dir), "payload", EVENT, bit_len="bit_len").join(read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    t = packed.decode(events(spark, sf_dir, "user_id"), "payload", EVENT, bit_len="bit_len")
     v = F.col("decoded.value")
-    t = t.withColumn("changed", C.set_arm(v, EVENT, "view", F.col("user_id").cast("int"), when=C.is_arm(v, "error")))
-    t = packed.encode(t, F.col("changed"), EVENT, "again").select(C.is_arm(v, "error").alias("was_error"), F.col("again.payload").alias("p"))
+    t = t.withColumn("changed", C.set_arm(v, EVENT, "view", user_low(F.col("user_id")), when=C.is_arm(v, "error")))
+    t = packed.encode(t, F.col("changed"), EVENT, "again").select(C.is_arm(v, "error").alias("was_error"), "block", F.col("again.payload").alias("p"))
     w = F.col("back.value")
-    return packed.decode(t, "p", EVENT, "back").groupBy("was_error", w["tag"].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("was_error"), C.get_arm(w, "view")).cast("long")).alias("users"))
+    users = F.when(F.col("was_error"), whole_user(F.col("block"), C.get_arm(w, "view")))
+    return packed.decode(t, "p", EVENT, "back").groupBy("was_error", w["tag"].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(users).alias("users"))
 
 
 @query("SELECT c_custkey, c_acctbal >= 0 AS ok, CASE WHEN c_acctbal >= 0 THEN c_nationkey END::INTEGER AS value, CASE WHEN c_acctbal >= 0 THEN c_nationkey ELSE 99 END::INTEGER AS or_else, CASE WHEN c_acctbal < 0 THEN 'ErrorOptionalValueIsEmpty' END AS error, TRUE AS empty FROM customer")

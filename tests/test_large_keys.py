@@ -34,3 +34,14 @@ def events(tmp_path):
 
 def test_users_above_sixteen_bits(spark, events):
     same(spark, events, "variant_event_payload")
+
+
+def test_set_arm_of_users_above_sixteen_bits(spark, events):
+    same(spark, events, "variant_set_and_make")
+
+
+def test_set_arm_of_repeated_events(spark, events):
+    t = pd.read_parquet(events / "events.parquet")
+    t["event_id"], t["user_id"] = t["event_id"] // 3, t["user_id"] % 65536
+    t.to_parquet(events / "events.parquet")
+    same(spark, events, "variant_set_and_make")
