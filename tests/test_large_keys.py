@@ -1,6 +1,7 @@
 """Queries against their oracles on keys as they occur in larger tables."""
 
 import datetime
+import re
 
 import duckdb
 import pandas as pd
@@ -45,3 +46,12 @@ def test_set_arm_of_repeated_events(spark, events):
     t["event_id"], t["user_id"] = t["event_id"] // 3, t["user_id"] % 65536
     t.to_parquet(events / "events.parquet")
     same(spark, events, "variant_set_and_make")
+
+
+def test_no_sketch_for_each_pair(spark, tmp_path):
+    rows = [(order, line, 30.0, "RNA"[order % 3]) for order in (0, 7, 90000, 1 << 31) for line in range(1, 8) for _ in range(1 + line % 3)]
+    pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    same(spark, tmp_path, "approx_distinct_decoded")
+    plan = Q.QUERIES["approx_distinct_decoded"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\][^\n]*approx_count_distinct", plan)
+    assert keys and not [k for k in keys if "orderkey" in k]
